@@ -70,7 +70,6 @@ def _scan(texts: list[bytes], index: dict) -> list[tuple[np.ndarray, set[int], i
 
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-_SCHEMA = "{id} long, {text} string, n_words long, spans array<struct<begin:int,end:int>>, items array<long>"
 
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -96,12 +95,15 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     broadcast_bytes: int = BROADCAST_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, text, n_words, spans, items`` for each row: hit word intervals and the items whose windows occur.
+    """``doc_id, text``, the ``carry`` columns and ``n_words, spans, items`` for each row.
+
+    ``spans`` are the hit word intervals, ``items`` those whose windows occur.
 
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. A window is ``ngram`` consecutive
     words of an item, or the whole of a shorter item. Null texts have no words. Items without id or text are ignored;
-    repeated items count once; repeated documents each get their row; other columns are ignored.
+    repeated items count once; repeated documents each get their row; columns not carried are ignored.
 
     Only the benchmark is broadcast, ``broadcast_bytes`` of it at a time; every further portion is one more
     pass that adds to the spans found so far.
@@ -110,11 +112,12 @@ def find_contamination(
     out = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
+        *carry,
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<begin:int,end:int>>").alias("spans"),
         F.array().cast("array<long>").alias("items"),
     )
-    schema = _SCHEMA.format(id="doc_id", text="text")
+    schema = out.schema
     for portion in _passes(benchmark, item_col, item_text_col, broadcast_bytes):
         index = spark.sparkContext.broadcast(_index(portion, ngram))
 
@@ -131,8 +134,8 @@ def find_contamination(
                     spans.append([{"begin": int(b), "end": int(e)} for b, e in zip(begins, ends)])
                     items.append(sorted(more | set(cols["items"][k] or [])))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))],
-                    names=["doc_id", "text", "n_words", "spans", "items"],
+                    [*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))],
+                    names=batch.schema.names,
                 )
 
         out = out.mapInArrow(scan, schema)

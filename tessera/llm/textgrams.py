@@ -55,7 +55,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _hash_chunk(texts: list[bytes], sep: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_chunk(texts: list[bytes], sep: np.ndarray, fold: np.ndarray, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     is_sep = sep[buf]
     begins = np.flatnonzero(is_sep[:-1] & ~is_sep[1:]) + 1
@@ -64,7 +64,7 @@ def _hash_chunk(texts: list[bytes], sep: np.ndarray, fold: np.ndarray) -> tuple[
     table = np.where(sep[SAME], U(0), _BYTE[fold])
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(table[buf] * power[: len(buf)], out=sums[1:])
-    h = mix((sums[ends] - sums[begins]) * inverse[begins])
+    h = np.stack([mix((sums[e] - sums[begins]) * inverse[begins]) for e in (ends, *(np.minimum(ends, begins + k) for k in stems))])
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
     return h, np.diff(np.searchsorted(begins, at))
@@ -72,19 +72,25 @@ def _hash_chunk(texts: list[bytes], sep: np.ndarray, fold: np.ndarray) -> tuple[
 
 def word_hashes(texts: list[bytes], sep: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the offsets of each text's words (len(texts) + 1)."""
+    h, offsets = stem_hashes(texts, sep, fold, ())
+    return h[0], offsets
+
+
+def stem_hashes(texts: list[bytes], sep: np.ndarray, fold: np.ndarray, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, with a row more for the words' first k bytes for each k of ``stems``."""
     hashes, counts, chunk, size = [], [], [], 0
     for i, t in enumerate(texts):
         chunk.append(t)
         size += len(t) + 1
         if size >= CHUNK or i == len(texts) - 1:
-            h, c = _hash_chunk(chunk, sep, fold)
+            h, c = _hash_chunk(chunk, sep, fold, stems)
             hashes.append(h)
             counts.append(c)
             chunk, size = [], 0
     offsets = np.zeros(len(texts) + 1, np.int64)
     if counts:
         np.cumsum(np.concatenate(counts), out=offsets[1:])
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), offsets
+    return (np.concatenate(hashes, axis=1) if hashes else np.zeros((1 + len(stems), 0), np.uint64)), offsets
 
 
 def window_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
