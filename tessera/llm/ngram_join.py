@@ -9,10 +9,11 @@
 3. Index. Two linked sets share at least k of their first n - ceil(0.8 n) + k shingles. Of a short set (where shared
    lines crowd the prefix) the frequent ones are indexed as combinations of k = 2, and the rare ones singly; of longer
    sets all are, with lengths that fall between indexed both ways. Keys with the same members are merged.
-4. Verification. The members of a key are compared in chunks of bounded size, by breadth-first search over the
-   links, so that members already connected are not compared again. Chunks of one large key share some hubs, which
-   connects them; members that are still apart from the key's largest component are then held against all its chunks.
-   So every pair that shares a key is either compared or already connected, and no link between components is lost.
+4. Verification. Each set is first compared within the largest of its keys only, in chunks of bounded size, by
+   breadth-first search over the links, so that members already connected are not compared again; chunks of one key
+   share some hubs, which connects them. Then every key whose members aren't all in one component is looked at again:
+   its members outside the largest component are held against all its chunks. So every pair that shares a key is
+   either compared or already connected, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -300,8 +301,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = materialize(fresh_join(index, merged, ["key"], "inner").select("key", "m", "id", "apart"), "members")
     chunks = F.ceil(F.col("m") / CHUNK)
     chunk = F.pmod(F.xxhash64("id", "key"), chunks)
-    plain = members.select("key", chunk.alias("chunk"), "id", "apart")
-    large = members.where(F.col("m") > CHUNK)
+    # each set first meets the others of its largest key only
+    picked = members.groupBy("id").agg(F.max_by(F.struct("key", "m", "apart"), F.struct("m", "key")).alias("at")).select("id", "at.*")
+    plain = picked.select("key", chunk.alias("chunk"), "id", "apart")
+    large = picked.where(F.col("m") > CHUNK)
     hubs = large.groupBy("key", "m", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("salt")).agg(F.min_by("id", F.struct("apart", "id")).alias("id"), F.min("apart").alias("apart"))
     hubs = hubs.select("key", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), "id", "apart")
     dealt = plain.union(hubs).distinct()
@@ -310,8 +313,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialize(links, "found")
     roots = materialize(connected_components(links), "roots")
 
-    # members of large keys that are not in the key's largest component: against all its chunks
-    placed = fresh_join(large.withColumnRenamed("id", "node"), roots, ["node"], "left")
+    # then, of each key whose members aren't all connected by now, those outside its largest component meet all of it
+    placed = fresh_join(members.withColumnRenamed("id", "node"), roots, ["node"], "left")
     placed = materialize(placed.select("key", "m", F.col("node").alias("id"), F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts"))
