@@ -11,90 +11,156 @@
 
 from __future__ import annotations
 
-import unicodedata
+import os
+import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, materialize, text_stats
+from .textgrams import span_hashes
 
 SEQUENCE = 2048
 END_ID = 1
 #: Tokens that a source is served at one turn.
 QUANTUM = 512
-_SIMPLE = regex.compile("[!-~¡-ÿĀ-į]+")
-_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words and parts of words remembered by one Python worker.
-_CACHE_WORDS, _CACHE_PIECES = 500_000, 700_000
+#: Texts of these characters only are cut into pre-tokens here; lower-casing and classing them is the same everywhere.
+_PLAIN = re.compile("[\t-\r -~¡-©«-¬®-±´¶-¸»¿À-ÖØ-öø-į]*")
+_SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[[*range(0x61, 0x7B), 0xC3, 0xC4]] = _LETTER  # after lower-casing; C3 and C4 lead all letters beyond ASCII here
+_CLASS[0x30:0x3A] = _DIGIT
+#: What the tokenizer's pattern splits off after an apostrophe.
+_AFTER_APOSTROPHE = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: Pre-tokens remembered by one Python worker.
+_CACHE = 600_000
+_SLOTS = 1 << 21
+
+
+def pretokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the pre-tokens of plain lower-case text: runs of letters, single digits, runs of other marks.
+
+    An apostrophe alone takes s, t, re, ve, m, ll or d from the letters behind it.
+    """
+    kind = _CLASS[buf]
+    tail = np.flatnonzero((buf >= 0x80) & (buf < 0xC0))
+    kind[tail] = kind[tail - 1]
+    before, after = np.concatenate([[_SPACE], kind[:-1]]), np.concatenate([kind[1:], [_SPACE]])
+    begin = (kind != _SPACE) & ((kind != before) | (kind == _DIGIT))
+    at = np.flatnonzero((buf == 0x27) & (before != _OTHER) & (after == _LETTER))
+    if len(at):
+        begin = np.append(begin, False)
+        padded = np.append(buf, [0, 0, 0]).astype(np.uint8)
+        free = np.ones(len(at), bool)
+        for x in _AFTER_APOSTROPHE:
+            hit = free & np.logical_and.reduce([padded[at + 1 + k] == c for k, c in enumerate(x)])
+            free &= ~hit
+            begin[at[hit] + 1] = False
+            rest = at[hit] + 1 + len(x)
+            rest = rest[rest < len(buf)]
+            begin[rest[kind[rest] == _LETTER]] = True
+        begin = begin[:-1]
+    begins = np.flatnonzero(begin)
+    stop = np.append(begin | (kind == _SPACE), True)
+    stops = np.flatnonzero(stop)
+    return begins, stops[np.searchsorted(stops, begins, side="right")]
 
 
 class WordTokenizer:
-    """Encodes whole texts with a ``tokenizers`` file, remembering words between texts.
+    """Encodes whole texts with a ``tokenizers`` file, remembering pre-tokens (by 64-bit hash) between texts.
 
-    Such a tokenizer never joins anything across white space, so a text's ids are those of its words in a row.
-    Words of plain Latin characters are cut further by the tokenizer's own pattern once lower-cased; any
-    other word goes to the tokenizer as it is.
+    Such a tokenizer never joins anything across its pre-tokens, so a text's ids are those of its pre-tokens in
+    a row. Texts beyond plain Latin characters, or with what may be a special token, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.pieces: dict[str, array] = {}
-        self.forget_words()
-
-    def forget_words(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("I")
-
-    def _learn(self, words: list[bytes]) -> None:
-        plans, new = [], {}
-        for w in words:
-            s = w.decode()
-            if _SIMPLE.fullmatch(s) and "<|" not in s and "\xad" not in s:
-                parts = _PRETOKENS.findall(unicodedata.normalize("NFC", s).lower())
-            else:
-                parts = [s]
-            plans.append(parts)
-            for p in parts:
-                if p not in self.pieces:
-                    new[p] = None
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)):
-                self.pieces[p] = array("I", e.ids)
-        for w, parts in zip(words, plans):
-            at = len(self.flat)
-            self.index[w] = len(self.starts)
-            for p in parts:
-                self.flat.extend(self.pieces[p])
-            self.starts.append(at)
-            self.sizes.append(len(self.flat) - at)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.pieces) > _CACHE_PIECES:
+        self.keys, self.slots = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int32)
+        self.sizes, self.starts, self.flat, self.count = [], [], [], 0
+        self.base = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of known pre-tokens, -1 for others."""
+        slot = (h >> np.uint64(43)).astype(np.int64)
+        out = np.where(self.keys[slot] == h, self.slots[slot], -1)
+        miss = np.flatnonzero((out < 0) & (self.slots[slot] >= 0))
+        while len(miss):
+            slot[miss] = (slot[miss] + 1) % _SLOTS
+            found = self.keys[slot[miss]] == h[miss]
+            out[miss[found]] = self.slots[slot[miss[found]]]
+            miss = miss[~found & (self.slots[slot[miss]] >= 0)]
+        return out
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        slot = (h >> np.uint64(43)).astype(np.int64)
+        while len(h):
+            free = self.slots[slot] < 0
+            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
+            put = np.zeros(len(h), bool)
+            put[first] = True
+            put &= free
+            self.keys[slot[put]], self.slots[slot[put]] = h[put], number[put]
+            h, number, slot = h[~put], number[~put], (slot[~put] + ~free[~put]) % _SLOTS
+
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        parts = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            sizes = np.diff(np.concatenate([[0], stops]))
+            if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):  # a tokenizer without word ends
+                each = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
+                sizes, ids = np.array([len(x) for x in each]), np.array([i for x in each for i in x], np.uint32)
+            self.sizes.append(sizes)
+            self.starts.append(self.base + np.cumsum(sizes) - sizes)
+            self.flat.append(ids)
+            self.base += len(ids)
+        self.sizes, self.starts, self.flat = [np.concatenate(self.sizes)], [np.concatenate(self.starts)], [np.concatenate(self.flat)]
+        self._put(h, np.arange(self.count, self.count + len(pieces), dtype=np.int32))
+        self.count += len(pieces)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.count > _CACHE:
             self.clear()
-        elif len(self.index) > _CACHE_WORDS:
-            self.forget_words()
-        split = [t.split() for t in texts]
-        if missing := set().union(*split).difference(self.index) if split else None:
-            self._learn(sorted(missing))
-        starts, sizes, flat = np.array(self.starts, np.int64), np.array(self.sizes, np.int64), np.array(self.flat, np.uint32)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            n = sizes[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.arange(total) + np.repeat(starts[at] - (ends - n), n)])
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        parts = [texts[i].lower().encode() for i in plain]
+        joined = b" ".join(parts)
+        buf = np.frombuffer(joined, np.uint8)
+        begins, ends = pretokens(buf) if len(buf) else (np.zeros(0, np.int64),) * 2
+        if not len(begins):
+            return out
+        h = span_hashes(buf, begins, ends)
+        number = self._find(h)
+        if len(unknown := np.flatnonzero(number < 0)):
+            new, first = np.unique(h[unknown], return_index=True)
+            at = unknown[first]
+            self._learn(new, [joined[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist())])
+            number[unknown] = self._find(h[unknown])
+        sizes, starts, flat = self.sizes[0], self.starts[0], self.flat[0]
+        n = sizes[number]
+        stops = np.cumsum(n)
+        ids = flat[np.arange(int(stops[-1])) + np.repeat(starts[number] - (stops - n), n)]
+        limits = np.cumsum([len(p) + 1 for p in parts])[:-1]
+        cuts = np.concatenate([[0], stops])[np.searchsorted(begins, limits)]
+        for i, x in zip(plain, np.split(ids, cuts)):
+            out[i] = x
         return out
 
 
@@ -113,9 +179,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [np.append(x, np.uint32(end_id)).astype("<u4") for x in tok.encode([(t or "").encode() for t in part.column("text").to_pylist()])]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [np.append(x, np.uint32(end_id)).astype("<u4") for x in tok.encode([t or "" for t in part.column("text").to_pylist()])]
                 narrow = [r.astype("<u2").tobytes() if r.max() < 65536 else r.tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("block"), part.column("doc_id"), part.column("source"), pa.array([len(r) for r in rows], pa.int64()), pa.array(narrow, pa.binary())],

@@ -70,6 +70,21 @@ def _hash_chunk(texts: list[bytes], sep: np.ndarray, fold: np.ndarray, stems: tu
     return h, np.diff(np.searchsorted(begins, at))
 
 
+def span_hashes(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans of ``buf`` (non-empty, in order), in portions that fit the power tables."""
+    out, at = [], 0
+    while at < len(begins):
+        base = int(begins[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        b, e, part = begins[at:to] - base, ends[at:to] - base, buf[base : int(ends[to - 1])]
+        power, inverse = _power_tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
+        out.append(mix((sums[e] - sums[b]) * inverse[b]))
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def word_hashes(texts: list[bytes], sep: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the offsets of each text's words (len(texts) + 1)."""
     h, offsets = stem_hashes(texts, sep, fold, ())
