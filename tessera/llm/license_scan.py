@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_join
+from .common import fresh_join, materialize
 
 #: Licence notices by identifier.
 TEMPLATES = {
@@ -71,7 +71,8 @@ def match_lines(files: DataFrame, templates: dict[str, str]) -> DataFrame:
     """``id, path, license_id, score, share`` for each licence line of ``files`` (id, path, text)."""
     idf, unit = template_weights(templates)
     unseen = math.log(1 + len(templates)) + 1
-    lines = files.select("id", "path", F.size(_words(F.col("text"))).alias("total"), F.split("text", r"\r\n|\r|\n").alias("lines"))
+    cued = files.where(F.col("text").rlike(CUES))
+    lines = cued.select("id", "path", F.size(_words(F.col("text"))).alias("total"), F.split("text", r"\r\n|\r|\n").alias("lines"))
     lines = lines.select("id", "path", "total", F.explode(F.filter("lines", lambda x: x.rlike(CUES))).alias("line"))
     lines = lines.select("id", "path", "total", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
     bag = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("w"), (1 + F.log(F.size(F.filter("words", lambda x: x == w)).cast("double"))).alias("tf")))
@@ -84,8 +85,7 @@ def match_lines(files: DataFrame, templates: dict[str, str]) -> DataFrame:
         own = _map({w: x * idf[w] for w, x in vector.items()})
         dot = _sum(F.col("bag"), lambda b, own=own: b["tf"] * F.coalesce(F.try_element_at(own, b["w"]), F.lit(0.0)))
         scores.append(F.struct(F.round(dot / F.col("norm"), 9).alias("score"), F.lit(name).alias("license_id")))
-    best = F.array_max(F.array(*scores)) if len(scores) > 0 else None
-    lines = lines.withColumn("best", best).where(F.col("best")["score"] >= MIN_COSINE)
+    lines = lines.withColumn("best", F.array_max(F.array(*scores))).where(F.col("best")["score"] >= MIN_COSINE)
     return lines.select("id", "path", F.col("best")["license_id"].alias("license_id"), F.col("best")["score"].alias("score"), (F.size("words") / F.col("total")).alias("share"))
 
 
@@ -109,6 +109,7 @@ def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
         F.max("path").alias("path"),
     )
     own = own.select("id", "path", F.col("best")["license_id"].alias("license_id"), F.col("best")["score"].alias("score"), (F.col("share") >= FILE_SHARE).alias("is_file"))
+    own = materialize(own, "licence-lines")
     parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     speaks = (
         own.where("is_file")
