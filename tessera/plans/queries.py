@@ -23,6 +23,8 @@ from ..sources.spec import TokenizerSpec, load, vocab_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEP = "\x1f"
+#: Bytes of a table from which, and bytes a core below which, it is dealt out.
+SPREAD_FROM, SPREAD_BELOW = 1 << 18, 16 << 20
 #: Merges of the small definition whose encoding SQL can restate.
 SMALL_MERGES = 60
 CHAT = {"<|im_start|>": 60001, "<|im_end|>": 60002, "<|im|>": 60003}
@@ -49,7 +51,14 @@ def small_spec(path: str | None = None, merges: int = SMALL_MERGES) -> Tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is small for the cores at hand is dealt out to them, as its file may be a single row group.
+
+    Large tables come in enough scan tasks and aren't shuffled.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SPREAD_FROM < size < cores * SPREAD_BELOW else df
 
 
 def _digest(pieces: Column) -> list[Column]:

@@ -6,9 +6,11 @@ Arrow functions made from the resulting :class:`TokenizerSpec`.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +68,11 @@ class TokenizerSpec:
     normalizer: dict | None = None
     pre_tokenizer: dict | None = None
 
+    @cached_property
+    def fingerprint(self) -> str:
+        """What tells definitions apart that encode differently: workers keep their memos by it."""
+        return hashlib.sha256(repr((sorted(self.vocab.items()), self.merges)).encode()).hexdigest()
+
     @property
     def vocab_size(self) -> int:
         return len(self.vocab)
