@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-NAMES = ["pretok_bytelevel", "split_isolated", "norm_bert_clean", "byte_map", "encode_full", "decode_roundtrip", "token_count_by_lang", "encode_long", "encode_chat", "chat_labels", "html_attr_count"]
-RUNS = 3
+NAMES = ["pretok_bytelevel", "split_isolated", "norm_bert_clean", "byte_map", "encode_full", "decode_roundtrip", "token_count_by_lang", "chat_labels", "html_attr_count"]
+RUNS = 5
 
 
 def main() -> None:

@@ -165,7 +165,9 @@ def test_encode_decode(spark):
     assert tok.vocab_size == 50256
 
 
-def test_native_and_arrow_agree(spark):
+@pytest.mark.parametrize("limit", [0, 400])
+def test_native_and_arrow_agree(spark, monkeypatch, limit):
+    monkeypatch.setattr("tessera.operators.bpe.FOLD_MERGES", limit)
     tok = Tokenizer(spark, small_spec())
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
     wide = {r["doc_id"]: r["ids"] for r in df.select("doc_id", tok.encode(F.col("text")).alias("ids")).collect()}
