@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one block of documents holds on average; a block is what one Python call sees.
 BLOCK_BYTES = 8 << 20
+#: Least and most bytes of text for a block, and for a bucket of what blocks exchange. The most takes some GB in a worker.
+BLOCK_RANGE, BUCKET_RANGE = (BLOCK_BYTES, 64 << 20), (4 << 20, 128 << 20)
+#: Bytes of text that a message from a block to a bucket stands for, where the ranges allow it.
+MESSAGE_BYTES = 384
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +51,17 @@ def text_stats(docs: DataFrame, text_col: str) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["b"] or 0)
 
 
+def grid(size: int) -> tuple[int, int]:
+    """(blocks, buckets) for a table of ``size`` bytes of text.
+
+    Every block may send to every bucket, so with parts of constant size messages would grow with the square of the
+    table and hold next to nothing. Parts grow with its square root instead, from some 90 GB on.
+    """
+    block = min(max(math.isqrt(MESSAGE_BYTES // 2 * size), BLOCK_RANGE[0]), BLOCK_RANGE[1])
+    bucket = min(max(MESSAGE_BYTES * size // block, BUCKET_RANGE[0]), BUCKET_RANGE[1])
+    return max(1, -(-size // block)), max(1, -(-size // bucket))
+
+
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> DataFrame:
     """``block, doc_id, text`` with documents dealt to blocks by a hash of id (rows without one: of the text)."""
     doc_id = F.col(id_col).cast("long")

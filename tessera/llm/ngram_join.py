@@ -25,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, fresh_join, in_blocks, materialize, text_stats
+from .common import fresh_join, grid, in_blocks, materialize, text_stats
 from .components import connected_components
 from .textgrams import LOWER, SPACES, mix, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Linked are sets with 100 * intersection >= PERCENT * union.
 PERCENT = 80
-BUCKET_BYTES = 4 << 20
 #: Sets up to SHORT shingles are indexed by combinations of frequent shingles; up to SHORT * 100 / PERCENT, both ways.
 SHORT = 40
 #: Frequency class (4 * log2 of the document frequency) from which a shingle is frequent.
@@ -262,7 +261,7 @@ def _confront(percent: int):
 def shingle_table(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """``doc_id, n, s1, s2, tokens, classes``: set size, set signature, and for sets that may link their shared shingles in order."""
     _, total = text_stats(docs, text_col)
-    n_blocks, n_buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    n_blocks, n_buckets = grid(total)
     blocks = in_blocks(docs, id_col, text_col, n_blocks)
     sent = blocks.groupBy("block").applyInArrow(_send(size, n_buckets), "bucket int, block long, hashes binary, counts binary")
     classes = sent.groupBy("bucket").applyInArrow(_classify, "block long, bucket int, classes binary")

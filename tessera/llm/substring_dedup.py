@@ -1,13 +1,15 @@
 """Substring dedup: every window of N words is hashed (Rabin-Karp), counted across documents, and repeats are cut.
 
 1. Documents are dealt to blocks of some MB by a hash of their id. A block hashes every window and sends each distinct
-   hash once, with the smallest doc_id that has it in this block, to the bucket of its leading bits. So a passage held
-   by a third of all documents costs one entry a block, not one a document.
+   hash once, with the smallest doc_id that has it in this block, to the bucket that a second hash picks. So a passage
+   held by a third of all documents costs one entry a block, not one a document.
 2. A bucket finds, for each hash, the smallest doc_id of all blocks, and answers each block with one bit an entry:
    whether a smaller document elsewhere has the window.
 3. The block joins its documents with the answers, merges the repeated windows into maximal intervals and cuts them.
 
-Hashes travel as packed arrays, so shuffles carry about nine bytes a window.
+Hashes travel as packed arrays, so shuffles carry about nine bytes a window. Windows are mixed up only where both the
+64-bit hash and the bucket of the second, independent hash agree. Buckets grow in number with the table, and their bits with
+it: the expected number of mix-ups stays below one up to 100 TB.
 """
 
 from __future__ import annotations
@@ -17,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, in_blocks, text_stats
-from .textgrams import SPACES, covered, intervals, window_hashes, word_hashes
+from .common import grid, in_blocks, text_stats
+from .textgrams import SECOND_BASE, SPACES, covered, intervals, window_hashes, word_hashes
 
 WINDOW = 13
-#: Bytes of text whose windows share a bucket, about.
-BUCKET_BYTES = 4 << 20
 _NO_ID = np.iinfo(np.int64).max
 _ENTRY = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
@@ -44,16 +44,17 @@ class _Block:
         self.texts = [(texts[i] or "").encode() for i in order]
         words, self.offsets = word_hashes(self.texts, SPACES)
         self.hashes, self.first, self.text = window_hashes(words, self.offsets, window)
+        second, _, _ = window_hashes(words, self.offsets, window, SECOND_BASE)
         by_hash = np.argsort(self.hashes, kind="stable")
-        ordered = self.hashes[by_hash]
+        ordered, beside = self.hashes[by_hash], second[by_hash]
         new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
+        new[1:] = (ordered[1:] != ordered[:-1]) | (beside[1:] != beside[:-1])
         lead = by_hash[new]  # stable: the first of a hash is of the smallest id
         self.leader = np.empty(len(ordered), np.int64)
         self.leader[by_hash] = lead[np.cumsum(new) - 1] if len(ordered) else 0
         lead = np.sort(lead)
         lead = lead[self.ids[self.text[lead]] != _NO_ID]
-        bucket = self.bucket_of(self.hashes[lead], n_buckets)
+        bucket = self.bucket_of(second[lead], n_buckets)
         inner = np.argsort(bucket, kind="stable")
         self.entries = lead[inner]
         self.bounds = np.searchsorted(bucket[inner], np.arange(n_buckets + 1))
@@ -129,7 +130,7 @@ def _cut(window: int, n_buckets: int):
     return cut
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, parts: tuple[int, int] | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, spans, kept_text`` for each row of ``docs``.
 
     Words are runs of anything but space and tab to carriage return, unchanged. A word goes if some window of
@@ -137,11 +138,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``spans`` are the maximal removed intervals in word positions; the kept words are joined by one space.
 
     Null texts have no words. Rows that repeat an id don't cut each other. Rows without id are never cut and cut
-    nothing. Texts of fewer than ``window`` words stay whole. Other columns are ignored. Windows are told apart by
-    64-bit hashes.
+    nothing. Texts of fewer than ``window`` words stay whole. Other columns are ignored. ``parts`` are the numbers of
+    blocks and buckets; without, they follow from the bytes of text.
     """
-    _, size = text_stats(docs, text_col)
-    n_blocks, n_buckets = max(1, -(-size // block_bytes)), max(1, -(-size // BUCKET_BYTES))
+    n_blocks, n_buckets = parts or grid(text_stats(docs, text_col)[1])
     blocks = in_blocks(docs, id_col, text_col, n_blocks)
     entries = blocks.groupBy("block").applyInArrow(_send(window, n_buckets), "bucket int, block long, hashes binary, ids binary, runs binary")
     answers = entries.groupBy("bucket").applyInArrow(_answer, "block long, bucket int, bits binary")

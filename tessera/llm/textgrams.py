@@ -10,6 +10,8 @@ import numpy as np
 
 U = np.uint64
 _BASE, _WINDOW_BASE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: Another base for windows, for hashes that are independent of the first.
+SECOND_BASE = U(0xA0761D6478BD642F)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -108,14 +110,14 @@ def stem_hashes(texts: list[bytes], sep: np.ndarray, fold: np.ndarray, stems: tu
     return (np.concatenate(hashes, axis=1) if hashes else np.zeros((1 + len(stems), 0), np.uint64)), offsets
 
 
-def window_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, offsets: np.ndarray, size: int, base: np.uint64 = _WINDOW_BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` words inside one text: (hash, index of the first word, index of the text)."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.zeros(n, np.uint64)
     for j in range(size):
-        h *= _WINDOW_BASE
+        h *= base
         h += words[j : j + n]
     counts = np.diff(offsets)
     text = np.repeat(np.arange(len(counts)), counts)

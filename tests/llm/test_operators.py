@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, exact_dedup, html_extraction, language_id, license_scan, linear, ngram_join, packing, quality, substring_dedup, toxicity
+from tessera.llm import common, decontamination, exact_dedup, html_extraction, language_id, license_scan, linear, ngram_join, packing, quality, substring_dedup, textgrams, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block long, n long, spans string"
 
@@ -70,13 +70,31 @@ def test_substring_dedup(spark):
             if i is not None and first[tuple(words[k][s : s + 13])] < i:
                 gone.update(range(s, s + 13))
         expected.append((i, len(words[k]), len(gone), " ".join(w for p, w in enumerate(words[k]) if p not in gone)))
-    for size in (1 << 23, 2000):
-        out = substring_dedup.substring_dedup(make(spark, ROWS), block_bytes=size).collect()
+    for parts in (None, (1, 1), (9, 64)):
+        out = substring_dedup.substring_dedup(make(spark, ROWS), parts=parts).collect()
         check([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out], expected)
         assert any(r["n_removed"] for r in out) and all(sum(s["end"] - s["begin"] for s in r["spans"]) == r["n_removed"] for r in out)
     assert substring_dedup.substring_dedup(make(spark, ROWS[:0])).count() == 0
 
 
+def test_grid_keeps_messages_worth_sending():
+    for size in (0, 1, 10**9, 8 * 10**10, 10**12, 10**13):
+        blocks, buckets = common.grid(size)
+        assert blocks >= 1 and buckets >= 1
+        assert size / (blocks * buckets) >= 300 or blocks * buckets == 1
+        assert size / blocks <= common.BLOCK_RANGE[1] and size / buckets <= common.BUCKET_RANGE[1]
+    blocks, buckets = common.grid(10**14)
+    assert 10**14 / (blocks * buckets) >= 80
+
+
+def test_windows_that_share_a_hash_differ_by_the_second():
+    texts = [f"a b c d e f g h i j k l {x}".encode() for x in "mno"]
+    words, offsets = textgrams.word_hashes(texts, textgrams.SPACES)
+    first = textgrams.window_hashes(words, offsets, 13)[0]
+    second = textgrams.window_hashes(words, offsets, 13, textgrams.SECOND_BASE)[0]
+    assert len(set(first) | set(second)) == 6
+
+
 def shingles(text):
     w = (text or "").translate({c: c + 32 for c in range(65, 91)}).split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
