@@ -1,4 +1,4 @@
-"""The tokenizer as SQL functions: tok_encode, tok_decode, tok_count, tok_pieces and the table function tok_explode."""
+"""The tokenizer as SQL functions: tok_encode, tok_decode, tok_count and the table function tok_explode."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from ..operators.tokenizer import Tokenizer
 
 
 def register(spark: SparkSession, tokenizer: Tokenizer) -> None:
-    """Registers for SQL. ``tok_pieces_of(text)`` is the native part; the others take its result or ids."""
+    """Registers for SQL. The functions take ids or the pieces that :func:`with_pieces` adds to a table."""
     shared = tokenizer._spec
     table = tokenizer._id_bytes() | {i: c.encode() for i, c in tokenizer.spec.specials.items()}
     known = spark.sparkContext.broadcast(table)

@@ -22,7 +22,8 @@ def has_suffix(tokens: Column, suffix: str) -> Column:
 
 
 def chars_per_token(text: Column, ids: Column) -> Column:
-    return utf16_length(text) / F.size(ids)
+    """Null for a text without tokens."""
+    return F.try_divide(utf16_length(text).cast("double"), F.size(ids))
 
 
 def attribute_names(html: Column) -> Column:

@@ -19,7 +19,7 @@ from ..operators.labels import sft_labels
 from ..operators.normalizers import normalize
 from ..operators.specials import segments
 from ..operators.tokenizer import Tokenizer
-from ..sources.spec import TokenizerSpec, load, vocab_table
+from ..sources.spec import TokenizerSpec, load, merges_table, reverse_table, specials_table, vocab_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEP = "\x1f"
@@ -77,6 +77,10 @@ def _norm(node: dict) -> Callable[[Column], Column]:
     return lambda t: normalize(F.array(t), {"type": "Sequence", "normalizers": [node]})[0]
 
 
+def _pre(*nodes: dict) -> Callable[[Column], Column]:
+    return pre.PreTokenizer({"type": "Sequence", "pretokenizers": list(nodes)}).pieces
+
+
 CUTS: dict[str, Callable[[Column], Column]] = {
     "pretok_bytelevel": lambda t: pre.matches(t, SEGMENTS),
     "pretok_bytelevel_prefix": lambda t: pre.byte_level(t),
@@ -99,6 +103,9 @@ CUTS: dict[str, Callable[[Column], Column]] = {
     "split_merged_prev": lambda t: pre.split(t, "[%$,.]", "MergedWithPrevious"),
     "split_merged_next": lambda t: pre.split(t, "[%$,.]", "MergedWithNext"),
     "split_contiguous": lambda t: pre.split(t, "[%$,.]", "Contiguous"),
+    "pretok_sequence": _pre({"type": "WhitespaceSplit"}, {"type": "Digits", "individual_digits": True}, {"type": "Punctuation"}),
+    "pretok_bytelevel_whole": _pre({"type": "ByteLevel", "use_regex": False}),
+    "split_string": _pre({"type": "Split", "pattern": {"String": ". "}, "behavior": "Isolated"}),
     "split_invert": lambda t: pre.split(t, "[a-z]+", "Isolated", True),
 }
 MAPS: dict[str, Callable[[Column], Column]] = {
@@ -112,6 +119,13 @@ MAPS: dict[str, Callable[[Column], Column]] = {
     "norm_nfkc": _norm({"type": "NFKC"}),
     "norm_nfkd": _norm({"type": "NFKD"}),
     "norm_strip_accents": _norm({"type": "StripAccents"}),
+    "norm_bert": _norm({"type": "BertNormalizer"}),
+    "norm_sequence": _norm(
+        {
+            "type": "Sequence",
+            "normalizers": [{"type": "Lowercase"}, {"type": "StripAccents"}, {"type": "Replace", "pattern": {"String": "."}, "content": "!"}, {"type": "Strip", "right": False}],
+        }
+    ),
     "byte_map": byte_map,
 }
 
@@ -166,11 +180,52 @@ def special_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = Tokenizer(spark, replace(full_spec(), specials={i: c for c, i in CHAT.items()}))
+    tok = _chat_tokenizer(spark)
     ids = _chat(spark, sf_dir).select("conv_id", "turn", tok.encode(F.col("text")).alias("ids"))
     return ids.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), (F.element_at("ids", 1) == 60001).alias("begins"), tok.decode(F.col("ids")).alias("text"))
 
 
+def _chat_tokenizer(spark: SparkSession) -> Tokenizer:
+    return Tokenizer(spark, replace(full_spec(), specials={i: c for c, i in CHAT.items()}))
+
+
+def encode_special_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Special tokens as ordinary text: their characters come back from the ids of the vocabulary alone."""
+    tok = _chat_tokenizer(spark)
+    return _chat(spark, sf_dir).select("conv_id", "turn", tok.decode(tok.encode(F.col("text"), handle_special=False), include_special=False).alias("text"))
+
+
+def decode_special_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of special tokens are looked up in the vocabulary, which lacks them."""
+    tok = _chat_tokenizer(spark)
+    return _chat(spark, sf_dir).select("conv_id", "turn", tok.decode(tok.encode(F.col("text")), include_special=False).alias("text"))
+
+
+def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each id decoded on its own; the characters that no cut falls into come back."""
+    tok = Tokenizer(spark, full_spec())
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.array_join(tok.tokens(tok.encode(F.col("text"))), "").alias("t"))
+    return parts.select("doc_id", F.sha2(F.regexp_replace("t", r"[^\x00-\x7F]+", ""), 256).alias("digest"))
+
+
+def chars_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = pre.whitespace_split(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), metrics.chars_per_token(F.col("text"), words).alias("ratio"))
+
+
+def merge_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges_table(spark, small_spec())
+
+
+def vocab_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reverse_table(spark, full_spec().truncated(300))
+
+
+def special_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = replace(small_spec(), specials={i: c for c, i in CHAT.items()})
+    return specials_table(spark, spec).select("id", "content", F.hex("utf8").alias("utf8"))
+
+
 def vocab_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab_table(spark, full_spec().truncated(300))
 
@@ -206,6 +261,7 @@ def queries() -> dict[str, Query]:
     out |= {name: partial(_map, f) for name, f in MAPS.items()}
     more = [encode_ids, token_count_by_lang, encode_long, encode_full, decode_roundtrip, decode_native, special_split, encode_chat, vocab_truncate]
     more += [chat_labels, single_char_rate, suffix_ing, html_attr_count, distinct_piece_reuse]
+    more += [encode_special_off, decode_special_off, decode_tokens, chars_per_token, merge_ranks, vocab_reverse, special_table]
     return out | {f.__name__: f for f in more}
 
 
@@ -284,6 +340,7 @@ def oracle_sql() -> dict[str, str]:
     chat = "(SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' AS text FROM conversations)"
     merged_prev = r"regexp_extract_all(text, '[^%$,.]+[%$,.]|[^%$,.]+|[%$,.]')"
     merged_next = r"regexp_extract_all(regexp_replace(text, '[%$,.]+([%$,.])', '\1', 'g'), '[%$,.]?[^%$,.]+|[%$,.]')"
+    bert = _trim(rf"regexp_replace(regexp_replace(text, '[\x01-\x1F\x7F-\x{{9F}}]', ' ', 'g'), '{_WS}+', ' ', 'g')")
     out = {
         "pretok_bytelevel": _sql_cut(_SEGMENTED),
         "pretok_bytelevel_prefix": _sql_cut(prefixed),
@@ -306,11 +363,16 @@ def oracle_sql() -> dict[str, str]:
         "split_merged_prev": _sql_cut(merged_prev),
         "split_merged_next": _sql_cut(merged_next),
         "split_contiguous": _sql_cut(_tagged("[%$,.]+")),
+        "pretok_sequence": _sql_cut(_all(r"\p{Nd}|[\p{L}\p{Mn}\p{Pc}]+|\p{P}|[^\p{Nd}\p{L}\p{Mn}\p{Pc}\p{P}\t-\r\x{85}\p{Z}]+")),
+        "pretok_bytelevel_whole": _sql_cut(f"[{_byte_map_sql('text')}]"),
+        "split_string": _sql_cut(_tagged(r"\. ")),
         "split_invert": _sql_cut(_gaps("[a-z]+")),
         "norm_strip": _sql_map(_trim("text")),
         "norm_replace": _sql_map(r"regexp_replace(text, '([aeiou])n', '\1m', 'g')"),
         "norm_nmt": _sql_map(_trim(rf"regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', ' ', 'g'), '{_WS}+', ' ', 'g')")),
-        "norm_bert_clean": _sql_map(_trim(rf"regexp_replace(regexp_replace(text, '[\x01-\x1F\x7F-\x{{9F}}]', ' ', 'g'), '{_WS}+', ' ', 'g')")),
+        "norm_bert_clean": _sql_map(bert),
+        "norm_bert": _sql_map(f"lower(strip_accents({bert}))"),
+        "norm_sequence": _sql_map(f"regexp_replace(replace(strip_accents(lower(text)), '.', '!'), '^{_WS}+', '')"),
         "norm_lower": _sql_map("lower(text)"),
         "norm_nfc": _sql_map("nfc_normalize(text)"),
         "norm_strip_accents": _sql_map("strip_accents(text)"),
@@ -320,6 +382,13 @@ def oracle_sql() -> dict[str, str]:
 SELECT lang, count(*) AS n_docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_tokens, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents LEFT JOIN n USING (doc_id) GROUP BY 1""",
         "encode_long": f"WITH {_fold_sql(small)} SELECT CAST(id AS INTEGER) AS id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ids GROUP BY 1",
         "decode_roundtrip": "SELECT doc_id, text FROM documents",
+        "decode_tokens": r"SELECT doc_id, sha256(regexp_replace(text, '[^\x00-\x7F]+', '', 'g')) AS digest FROM documents",
+        "encode_special_off": f"SELECT conv_id, turn, text FROM {chat}",
+        "decode_special_off": "SELECT conv_id, turn, role || chr(10) || text AS text FROM conversations",
+        "chars_per_token": f"SELECT doc_id, n AS n_tokens, length(text) / nullif(n, 0) AS ratio FROM (SELECT doc_id, text, len(list_filter({_gaps(_WS + '+')}, lambda x: x <> '')) AS n FROM documents)",
+        "merge_ranks": 'SELECT CAST(rank AS INTEGER) AS rank, "left", "right" FROM (VALUES ' + ", ".join(f"({r}, {_lit(a)}, {_lit(b)})" for r, a, b in small.merges) + ') v(rank, "left", "right")',
+        "vocab_reverse": "SELECT CAST(id AS INTEGER) AS id, token FROM (VALUES " + ", ".join(f"({_lit(t)}, {i})" for t, i in full_spec().truncated(300).vocab.items()) + ") v(token, id)",
+        "special_table": "SELECT CAST(id AS INTEGER) AS id, content, hex(encode(content)) AS utf8 FROM (VALUES " + ", ".join(f"({i}, {_lit(c)})" for c, i in CHAT.items()) + ") v(id, content)",
         "decode_native": "SELECT doc_id, text FROM documents",
         "special_split": f"""SELECT conv_id, turn, CAST(len(p) AS BIGINT) AS n_pieces, sha256(array_to_string(p, chr(31))) AS digest FROM (
 SELECT conv_id, turn, list_filter(['60001', substr(text, 13, length(text) - 22), '60002'], lambda x: x <> '') AS p FROM {chat})""",

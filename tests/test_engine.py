@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions.text import byte_table, token_bytes
+from tessera.operators import metrics
 from tessera.operators import pretokenizers as pre
 from tessera.operators.bpe import merge_symbols
 from tessera.operators.labels import mask
@@ -218,3 +219,9 @@ def test_sql(spark):
     with_pieces(spark.createDataFrame([("hello world",)], "text string"), tok).createOrReplaceTempView("x")
     assert spark.sql("select tok_decode(tok_encode(pieces)) a, tok_count(pieces) n from x").first() == ("hello world", 2)
     assert [r["id"] for r in spark.sql("select t.* from x, lateral tok_explode(pieces) t").collect()] == [31373, 995]
+
+
+def test_ratio_is_null_without_tokens(spark):
+    df = spark.createDataFrame([("ab cd",), ("",), ("  ",), (None,)], "text string")
+    out = df.select(metrics.chars_per_token(F.col("text"), pre.whitespace_split(F.col("text"))).alias("r")).collect()
+    assert [r["r"] for r in out] == [2.5, None, None, None]
