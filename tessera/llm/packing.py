@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, materialize, text_stats
+from .common import grid, materialize, text_stats
 from .textgrams import span_hashes
 
 SEQUENCE = 2048
@@ -252,7 +252,7 @@ def pack(
     sequence: int = SEQUENCE,
     end_id: int = END_ID,
     quantum: int = QUANTUM,
-    lane_bytes: int = BLOCK_BYTES,
+    lane_bytes: int | None = None,
 ) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source``.
 
@@ -265,7 +265,7 @@ def pack(
     repeat an id are packed each. An empty table gives no rows. Other columns are ignored.
     """
     _, size = text_stats(docs, text_col)
-    n_lanes = max(1, -(-size // lane_bytes))
+    n_lanes = max(1, -(-size // lane_bytes)) if lane_bytes else grid(size)[0]
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")
     lanes = _laned(docs, id_col, text_col, source, n_lanes)
     ids = materialize(tokenize(lanes, tokenizer_path, end_id), "tokens")
