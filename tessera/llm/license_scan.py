@@ -28,6 +28,19 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
     "proprietary": "All rights reserved. No part may be reproduced without permission.",
 }
+#: Names of licences, as notices give them after one of ``GRANTS``; SPDX identifiers follow from the templates.
+NAMES = {
+    "MIT": ["mit license", "mit licence"],
+    "Apache-2.0": ["apache license version 2.0", "apache license 2.0", "apache license v2.0", "apache-2.0 license"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3", "gnu general public license v3.0", "gpl-3.0 license"],
+    "CC-BY-NC-4.0": ["creative commons attribution-noncommercial 4.0", "cc by-nc 4.0 license"],
+    "CC-BY-4.0": ["creative commons attribution 4.0", "cc by 4.0 license"],
+    "CC-BY-SA-4.0": ["creative commons attribution-sharealike 4.0", "cc by-sa 4.0 license"],
+    "BSD-3-Clause": ["bsd 3-clause license", "3-clause bsd license", "bsd-3-clause license"],
+}
+GRANTS = ["under the", "under a", "terms of the", "governed by the"]
+#: Reservations of rights count where the file has no other licence: many granting notices begin with one.
+RESERVED = {"proprietary": ["all rights reserved"]}
 #: A line takes part if it has one of these.
 CUES = r"(?i)licen[cs]|copyright|all rights reserved|redistribut|spdx|reproduced"
 MIN_COSINE = 0.6
@@ -67,8 +80,23 @@ def _sum(words: Column, value) -> Column:
     return F.aggregate(words, F.lit(0.0), lambda a, w: a + value(w))
 
 
+def _holds(words: Column, phrases: list[str]) -> Column:
+    """Whether one of the phrases is a run of whole words of ``words``."""
+    said = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return said.rlike(f" (?:{'|'.join(re.escape(p) for p in phrases)}) ")
+
+
+def phrases_of(license_id: str) -> list[str]:
+    """Phrases that name a licence wherever a line holds them."""
+    spdx = [f"spdx-license-identifier {license_id.lower()}{x}" for x in ("", "-only", "-or-later")]
+    return spdx + [f"{g} {n}" for g in GRANTS for n in NAMES.get(license_id, [])]
+
+
 def match_lines(files: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """``id, path, license_id, score, share`` for each licence line of ``files`` (id, path, text)."""
+    """``id, path, license_id, score, granted, share`` for each licence line of ``files`` (id, path, text).
+
+    A line that holds a phrase of a licence as it stands scores 1; ``granted`` is false for a mere reservation of rights.
+    """
     idf, unit = template_weights(templates)
     unseen = math.log(1 + len(templates)) + 1
     cued = files.where(F.col("text").rlike(CUES))
@@ -84,17 +112,22 @@ def match_lines(files: DataFrame, templates: dict[str, str]) -> DataFrame:
     for name, vector in unit.items():
         own = _map({w: x * idf[w] for w, x in vector.items()})
         dot = _sum(F.col("bag"), lambda b, own=own: b["tf"] * F.coalesce(F.try_element_at(own, b["w"]), F.lit(0.0)))
-        scores.append(F.struct(F.round(dot / F.col("norm"), 9).alias("score"), F.lit(name).alias("license_id")))
+        score = F.when(_holds(F.col("words"), phrases_of(name)), 1.0).otherwise(F.round(dot / F.col("norm"), 9))
+        scores.append(F.struct((score >= MIN_COSINE).alias("granted"), score.alias("score"), F.lit(name).alias("license_id")))
+    for name in sorted(RESERVED.keys() & unit.keys()):
+        score = F.when(_holds(F.col("words"), RESERVED[name]), 1.0).otherwise(0.0)
+        scores.append(F.struct(F.lit(False).alias("granted"), score.alias("score"), F.lit(name).alias("license_id")))
     lines = lines.withColumn("best", F.array_max(F.array(*scores))).where(F.col("best")["score"] >= MIN_COSINE)
-    return lines.select("id", "path", F.col("best")["license_id"].alias("license_id"), F.col("best")["score"].alias("score"), (F.size("words") / F.col("total")).alias("share"))
+    best = [F.col("best")[k].alias(k) for k in ("license_id", "score", "granted")]
+    return lines.select("id", "path", *best, (F.size("words") / F.col("total")).alias("share"))
 
 
 def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """``id, path, license_id, score, found_in, from_path`` for each row of ``files``.
 
     ``found_in`` is ``header`` (a line of the file), ``license_file`` (the file is mostly licence), ``inherited`` (from the
-    nearest directory above, ``from_path``) or null (none). Of several lines the one with the highest cosine counts,
-    then the licence last in the alphabet; of several licence files of a directory likewise, then the least id.
+    nearest directory above, ``from_path``) or null (none). Of several lines the one with the highest score counts (grants
+    before reservations of rights), then the licence last in the alphabet; of several licence files of a directory likewise, then the least id.
 
     Null and empty texts have no lines. A null path inherits nothing and speaks for no directory. Rows that repeat an
     id are one file: each gets the result of all its rows. Rows without id get null. Other columns are ignored.
@@ -104,7 +137,7 @@ def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     files = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = match_lines(files, templates).where("id is not null")
     own = found.groupBy("id").agg(
-        F.max(F.struct("score", "license_id")).alias("best"),
+        F.max(F.struct("granted", "score", "license_id")).alias("best"),
         F.sum("share").alias("share"),
         F.max("path").alias("path"),
     )

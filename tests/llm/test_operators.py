@@ -340,6 +340,24 @@ def test_license_scan(spark):
     assert license_scan.license_scan(df).count() == len(rows)
 
 
+def test_license_lines_of_every_kind(spark):
+    kinds = {
+        "All rights reserved.": "proprietary",
+        "Copyright (c) 2020 Example Works Incorporated. All rights reserved.": "proprietary",
+        "All rights reserved.\nReleased under the MIT License.": "MIT",
+        "# SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA-4.0",
+        "This project and all of its documentation are licensed under the MIT License, see below": "MIT",
+        "Copyright 2020 Example Works": None,  # names an owner, no terms: the folder's licence holds
+        "Every right was reserved for the licensed few": None,
+        **{text: name for name, text in license_scan.TEMPLATES.items()},
+    }
+    df = spark.createDataFrame([(i, f"d{i}/x.txt", text) for i, text in enumerate(kinds)], "id long, path string, text string")
+    out = {r["id"]: r["license_id"] for r in license_scan.license_scan(df).collect()}
+    assert {text: out[i] for i, text in enumerate(kinds)} == kinds
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
