@@ -358,6 +358,33 @@ def test_license_lines_of_every_kind(spark):
     assert {text: out[i] for i, text in enumerate(kinds)} == kinds
 
 
+def test_license_headers_and_full_texts(spark):
+    texts = license_scan.standard_texts()
+    full = {k: v[-1] for k, v in texts.items() if len(v[-1]) > 700 and k != "AGPL-3.0"}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0"} <= full.keys()
+    code = "\n\nint main() {\n" + "  value = compute(value, other);\n" * 200 + "}\n"
+    gpl = license_scan.HEADERS["GPL-3.0"][0]
+    wrapped = "\n".join(" * " + " ".join(gpl.split()[i : i + 10]) for i in range(0, len(gpl.split()), 10))
+    apache = license_scan.HEADERS["Apache-2.0"][1].replace("You may", "\n#\n#   You may").replace("Unless", "\n#\n# Unless")
+    rows = [(f"full/{k}/LICENSE", v.replace("Copyright (c)", "Copyright (c) 2020 Example Works"), (k, "license_file")) for k, v in full.items()]
+    rows += [(f"full/{k}/deep/x.c", "int x;", (k, "inherited")) for k in full]
+    rows += [
+        ("h/a.c", "/*\n * Copyright 2020 Example Works\n *\n" + wrapped + "\n */" + code, ("GPL-3.0", "header")),
+        ("h/b.c", "// " + gpl.split(" This program is distributed")[0] + code, ("GPL-3.0", "header")),
+        ("h/c.py", "#!/usr/bin/python\n# Copyright 2020 Example Works\n#\n# " + apache + code, ("Apache-2.0", "header")),
+        ("h/d.py", "# Licensed under the Apache\n# License, Version 2.0." + code, ("Apache-2.0", "header")),
+        ("h/e.c", "/*\n" + texts["MIT"][-1] + "*/" + code, ("MIT", "header")),
+        ("h/f.txt", "The committee discussed the license for the hall and the copyright of the songs.\n" * 20, (None, None)),
+        ("i/a.txt", "a few words of prose that stand in front of it all here\nand more\nAll rights reserved.", ("proprietary", "header")),
+        ("h/g.txt", "words " * 300 + "All rights reserved.", ("proprietary", "header")),
+    ]
+    df = spark.createDataFrame([(i, path, text) for i, (path, text, _) in enumerate(rows)], "id long, path string, text string")
+    out = {r["id"]: (r["license_id"], r["found_in"]) for r in license_scan.license_scan(df).collect()}
+    assert {p: out[i] for i, (p, _, _) in enumerate(rows)} == {p: x for p, _, x in rows}
+    own = spark.createDataFrame([(1, "a", "Do whatever pleases you with it")], "id long, path string, text string")
+    assert license_scan.license_scan(own, {"mine": "Do whatever pleases you"}).first()["license_id"] == "mine"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
