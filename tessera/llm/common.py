@@ -2,25 +2,61 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TypeVar
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one block of documents holds on average; a block is what one Python call sees.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Least and most bytes of text for a block, and for a bucket of what blocks exchange. The most takes some GB in a worker.
 BLOCK_RANGE, BUCKET_RANGE = (BLOCK_BYTES, 64 << 20), (4 << 20, 128 << 20)
 #: Bytes of text that a message from a block to a bucket stands for, where the ranges allow it.
 MESSAGE_BYTES = 384
 
 
+#: Rows and bytes of text that a Python worker turns into Python objects at once.
+PORTION_ROWS, PORTION_BYTES = 256, 1 << 20
+_T = TypeVar("_T")
+
+
+def portions(texts: pa.Array, most_rows: int = PORTION_ROWS, most_bytes: int = PORTION_BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of rows with at most ``most_bytes`` of text; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and (size + n > most_bytes or i - begin == most_rows):
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if len(texts):
+        yield begin, len(texts)
+
+
+def tidy(result: _T) -> _T:
+    """Hands a Python worker's freed memory back to the system, and ``result`` through: idle workers shall not keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+    return result
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary one (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -5,12 +5,15 @@
 2. A lane drains its queues completely, so what every source has been given before lane k, and with it every
    source's deficit at the start of lane k, follows from the counts of the lanes before: a prefix sum over a small
    table, no sequential run. The same sum gives the stream position where the lane begins.
-3. Within a lane, deficit round-robin serves quanta of tokens by the targets and the carried deficits. Sequences are
-   cuts of the one stream at every multiple of their length, so only the last sequence of all is padded.
+3. A round of deficit round-robin is one window: every source is credited its target share of the window and served what
+   its deficit allows. What a window lacks (fractions, queues that are dry) the others fill by their shares, and what a
+   source was served too little or too much it carries on. Sequences are cuts of the one stream at every multiple of
+   their length, so only the last sequence of all is padded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import grid, materialize, text_stats
-from .textgrams import span_hashes
+from .common import grid, materialize, portions, text_stats, tidy
 
 SEQUENCE = 2048
 END_ID = 1
-#: Tokens that a source is served at one turn.
-QUANTUM = 512
+#: Blocks of text (see ``common.grid``) to a lane.
+LANE_BLOCKS = 2
 #: Texts of these characters only are cut into pre-tokens here; lower-casing and classing them is the same everywhere.
 _PLAIN = re.compile("[\t-\r -~¡-©«-¬®-±´¶-¸»¿À-ÖØ-öø-į]*")
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
@@ -37,9 +39,11 @@ _CLASS[[*range(0x61, 0x7B), 0xC3, 0xC4]] = _LETTER  # after lower-casing; C3 and
 _CLASS[0x30:0x3A] = _DIGIT
 #: What the tokenizer's pattern splits off after an apostrophe.
 _AFTER_APOSTROPHE = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: The normalizer and the pre-tokenizer that ``pretokens`` restates.
+_NORMALIZER = ["NFC", ("Replace", r"\s+", " "), "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pre-tokens remembered by one Python worker.
-_CACHE = 600_000
-_SLOTS = 1 << 21
+CACHE = 300_000
 
 
 def pretokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +75,30 @@ def pretokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, stops[np.searchsorted(stops, begins, side="right")]
 
 
+def cuts_as_here(definition: dict) -> bool:
+    """Whether a ``tokenizers`` file normalizes and cuts plain text as ``pretokens`` does, and nothing else changes its ids."""
+    normalizer, pre, model = (definition.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [(n["type"], n["pattern"].get("Regex"), n["content"]) if n.get("type") == "Replace" else n.get("type") for n in normalizer.get("normalizers") or []]
+    cuts = pre.get("pretokenizers") or []
+    return (
+        steps == _NORMALIZER
+        and len(cuts) == 2
+        and cuts[0] == {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+        and cuts[1].get("type") == "ByteLevel"
+        and not (cuts[1].get("add_prefix_space") or cuts[1].get("use_regex"))
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and not (definition.get("truncation") or definition.get("padding"))
+        and all(t["content"].startswith("<|") for t in definition.get("added_tokens") or [])
+    )
+
+
 class WordTokenizer:
-    """Encodes whole texts with a ``tokenizers`` file, remembering pre-tokens (by 64-bit hash) between texts.
+    """Encodes whole texts with a ``tokenizers`` file.
 
-    Such a tokenizer never joins anything across its pre-tokens, so a text's ids are those of its pre-tokens in
-    a row. Texts beyond plain Latin characters, or with what may be a special token, go to the tokenizer as they are.
+    If the file cuts plain Latin text as ``pretokens`` does, pre-tokens are remembered between texts: such a tokenizer
+    never joins anything across them, so a text's ids are those of its pre-tokens in a row. Other texts, those with what
+    may be a special token, and all texts under other files go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -83,80 +106,84 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.slots = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int32)
-        self.sizes, self.starts, self.flat, self.count = [], [], [], 0
-        self.base = 0
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of known pre-tokens, -1 for others."""
-        slot = (h >> np.uint64(43)).astype(np.int64)
-        out = np.where(self.keys[slot] == h, self.slots[slot], -1)
-        miss = np.flatnonzero((out < 0) & (self.slots[slot] >= 0))
-        while len(miss):
-            slot[miss] = (slot[miss] + 1) % _SLOTS
-            found = self.keys[slot[miss]] == h[miss]
-            out[miss[found]] = self.slots[slot[miss[found]]]
-            miss = miss[~found & (self.slots[slot[miss]] >= 0)]
-        return out
-
-    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
-        slot = (h >> np.uint64(43)).astype(np.int64)
-        while len(h):
-            free = self.slots[slot] < 0
-            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
-            put = np.zeros(len(h), bool)
-            put[first] = True
-            put &= free
-            self.keys[slot[put]], self.slots[slot[put]] = h[put], number[put]
-            h, number, slot = h[~put], number[~put], (slot[~put] + ~free[~put]) % _SLOTS
-
-    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
-        parts = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
+        with open(path, encoding="utf-8") as f:
+            definition = json.load(f)
+        self.fast = cuts_as_here(definition)
+        ends = [i for w, i in definition["model"]["vocab"].items() if w.endswith("</w>")] if self.fast else []
+        self.ends = np.zeros(max(definition["model"]["vocab"].values(), default=0) + 1 if self.fast else 1, bool)
+        self.ends[ends] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.sizes, self.starts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.seen = np.zeros(0, np.int32)
+
+    def _forget(self, room: int) -> None:
+        """Makes room: pre-tokens met in one portion only since the last time go first, then all."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) + room > CACHE * 3 // 4:
+            return self._clear()
+        names = list(self.number)
+        sizes = self.sizes[keep]
+        stops = np.cumsum(sizes)
+        self.flat = self.flat[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.starts[keep] - (stops - sizes), sizes)]
+        self.number, self.sizes, self.starts = {names[i]: k for k, i in enumerate(keep.tolist())}, sizes, (stops - sizes).astype(np.int64)
+        self.seen = np.ones(len(keep), np.int32)
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        sizes, flat = [], []
+        for k in range(0, len(pieces), 1000):
+            part = pieces[k : k + 1000]
+            ids = np.array(self._plain([b" ".join(part).decode()])[0], np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            sizes = np.diff(np.concatenate([[0], stops]))
-            if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):  # a tokenizer without word ends
-                each = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
-                sizes, ids = np.array([len(x) for x in each]), np.array([i for x in each for i in x], np.uint32)
-            self.sizes.append(sizes)
-            self.starts.append(self.base + np.cumsum(sizes) - sizes)
-            self.flat.append(ids)
-            self.base += len(ids)
-        self.sizes, self.starts, self.flat = [np.concatenate(self.sizes)], [np.concatenate(self.starts)], [np.concatenate(self.flat)]
-        self._put(h, np.arange(self.count, self.count + len(pieces), dtype=np.int32))
-        self.count += len(pieces)
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                sizes.append(np.diff(np.concatenate([[0], stops])))
+            else:  # ids without word ends
+                each = self._plain([p.decode() for p in part])
+                sizes.append(np.array([len(x) for x in each]))
+                ids = np.array([i for x in each for i in x], np.uint32)
+            flat.append(ids)
+        for p in pieces:
+            self.number[p] = len(self.number)
+        new = np.concatenate(sizes).astype(np.int32)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
+        self.sizes, self.flat = np.concatenate([self.sizes, new]), np.concatenate([self.flat, *flat])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.count > _CACHE:
-            self.clear()
-        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t]
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t] if self.fast else []
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for i in set(range(len(texts))).difference(plain):
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        odd = sorted(set(range(len(texts))).difference(plain))
+        for i, ids in zip(odd, self._plain([texts[i] for i in odd])):
+            out[i] = np.array(ids, np.uint32)
         parts = [texts[i].lower().encode() for i in plain]
-        joined = b" ".join(parts)
-        buf = np.frombuffer(joined, np.uint8)
+        buf = np.frombuffer(b" ".join(parts), np.uint8)
         begins, ends = pretokens(buf) if len(buf) else (np.zeros(0, np.int64),) * 2
         if not len(begins):
             return out
-        h = span_hashes(buf, begins, ends)
-        number = self._find(h)
-        if len(unknown := np.flatnonzero(number < 0)):
-            new, first = np.unique(h[unknown], return_index=True)
-            at = unknown[first]
-            self._learn(new, [joined[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist())])
-            number[unknown] = self._find(h[unknown])
-        sizes, starts, flat = self.sizes[0], self.starts[0], self.flat[0]
-        n = sizes[number]
+        # pre-tokens hold all bytes but white space, so without it they stand one behind the other
+        body = buf[_CLASS[buf] != _SPACE]
+        stops = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int32)
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(stops), pa.py_buffer(body)]).dictionary_encode()
+        _, at, data = coded.dictionary.buffers()
+        data, at = data.to_pybytes(), np.frombuffer(at, np.int32).tolist()
+        distinct = [data[a:b] for a, b in zip(at, at[1:])]
+        new = [p for p in distinct if p not in self.number]
+        if len(self.number) + len(new) > CACHE:
+            self._forget(len(distinct))
+            new = [p for p in distinct if p not in self.number]
+        if new:
+            self._learn(new)
+        table = np.fromiter(map(self.number.__getitem__, distinct), np.int32, len(distinct))
+        self.seen[table] += 1
+        number = table[coded.indices.to_numpy()]
+        n = self.sizes[number]
         stops = np.cumsum(n)
-        ids = flat[np.arange(int(stops[-1])) + np.repeat(starts[number] - (stops - n), n)]
+        ids = self.flat[np.arange(int(stops[-1])) + np.repeat(self.starts[number] - (stops - n), n)]
         limits = np.cumsum([len(p) + 1 for p in parts])[:-1]
         cuts = np.concatenate([[0], stops])[np.searchsorted(begins, limits)]
         for i, x in zip(plain, np.split(ids, cuts)):
@@ -164,29 +191,22 @@ class WordTokenizer:
         return out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``block, doc_id, source, n, ids`` from ``block, doc_id, source, text``; ids are little-endian 32-bit numbers."""
+    """``block, doc_id, source, n, ids`` from ``block, doc_id, source, text``; ids are little-endian 32-bit numbers, or 16-bit where all fit."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
+        tok = WordTokenizer(path)  # for this task only: an idle worker shall not hold it
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for begin, end in portions(batch.column("text"), 1024, 2 << 20):
+                part = batch.slice(begin, end - begin)
                 rows = [np.append(x, np.uint32(end_id)).astype("<u4") for x in tok.encode([t or "" for t in part.column("text").to_pylist()])]
                 narrow = [r.astype("<u2").tobytes() if r.max() < 65536 else r.tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("block"), part.column("doc_id"), part.column("source"), pa.array([len(r) for r in rows], pa.int64()), pa.array(narrow, pa.binary())],
                     names=["block", "doc_id", "source", "n", "ids"],
                 )
+        del tok
+        tidy(None)
 
     return docs.select("block", "doc_id", "source", "text").mapInArrow(encode, "block long, doc_id long, source string, n long, ids binary")
 
@@ -194,50 +214,75 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 _PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("source", pa.string())])
 
 
-def _round_robin(sequence: int, quantum: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def allot(share: np.ndarray, deficit: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
+    """Tokens of each source in a window with ``room`` left, none beyond what its queue has ``left``.
+
+    ``deficit`` already holds the window's credits. Sources get the whole tokens of their deficits, in proportion if these
+    exceed the room. Room that is left goes to queues with tokens by their shares, the last tokens to the largest deficits.
+    """
+    want = np.minimum(np.maximum(np.floor(deficit), 0), left).astype(np.int64)
+    if (total := int(want.sum())) > room:
+        want = want * room // total
+    rest = min(room, int(left.sum())) - int(want.sum())
+    while rest:
+        spare = left - want
+        weight = np.where(spare > 0, np.maximum(share, 1e-12), 0.0)
+        more = np.minimum(np.floor(rest * weight / weight.sum()).astype(np.int64), spare)
+        if not more.any():
+            order = np.lexsort((np.arange(len(want)), want - deficit))  # the largest deficit first, ties by name
+            more[order[spare[order] > 0][:rest]] = 1
+        want += more
+        rest -= int(more.sum())
+    return want
+
+
+def _round_robin(sequence: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def serve(docs: pa.Table, state: pa.Table) -> pa.Table:
-        out: dict[str, list] = {f.name: [] for f in _PIECES}
         if docs.num_rows == 0:
-            return pa.Table.from_pydict(out, schema=_PIECES)
+            return pa.Table.from_pylist([], schema=_PIECES)
         docs = docs.sort_by([("source", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
-        ids, source, n = docs.column("doc_id").to_pylist(), docs.column("source").to_pylist(), docs.column("n").to_pylist()
-        blobs = [np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4").astype("<u4") for x, k in zip(docs.column("ids").to_pylist(), n)]
-        queues: dict[str, list[int]] = {}
-        for i, s in enumerate(source):
-            queues.setdefault(s, []).append(i)
-        names = list(queues)
+        n = docs.column("n").to_numpy()
+        names, source = np.unique(np.array(docs.column("source").to_pylist(), object), return_inverse=True)
         st = {r["source"]: r for r in state.to_pylist()}
         share = np.array([st[s]["share"] for s in names], float)
         deficit = np.array([st[s]["deficit"] for s in names], float)
-        position = int(state.column("position")[0].as_py())
-        head, used = [0] * len(names), [0] * len(names)
-        live = np.ones(len(names), bool)
-        while live.any():
-            k = int(np.argmax(np.where(live, deficit, -np.inf)))  # ties: the first source by name
-            left, served = quantum, 0
-            while left and head[k] < len(queues[names[k]]):
-                i = queues[names[k]][head[k]]
-                start = used[k]
-                length = min(left, n[i] - start, sequence - position % sequence)
-                out["doc_id"].append(ids[i])
-                out["start"].append(start)
-                out["length"].append(length)
-                out["ids_crc32"].append(zlib.crc32(blobs[i][start : start + length].tobytes()))
-                out["doc_tokens"].append(n[i])
-                out["sequence_id"].append(position // sequence)
-                out["offset"].append(position % sequence)
-                out["source"].append(names[k])
-                position += length
-                served += length
-                left -= length
-                used[k] += length
-                if used[k] == n[i]:
-                    head[k] += 1
-                    used[k] = 0
-            deficit += share * served
-            deficit[k] -= served
-            live[k] = head[k] < len(queues[names[k]])
-        return pa.Table.from_pydict(out, schema=_PIECES)
+        begin = position = int(state.column("position")[0].as_py())
+        left = np.bincount(source, weights=n).astype(np.int64)
+        end = begin + int(left.sum())
+        turns = []
+        while position < end:
+            room = min(sequence - position % sequence, end - position)
+            deficit += share * room
+            turns.append(allot(share, deficit, left, room))
+            deficit -= turns[-1]
+            left -= turns[-1]
+            position += room
+        given = np.stack(turns)  # windows x sources
+        first = begin // sequence
+        # where each source's part of each window lies in the stream
+        base = np.maximum((first + np.arange(len(given))) * sequence, begin)[:, None] + np.cumsum(given, axis=1) - given
+        bounds = np.searchsorted(source, np.arange(len(names) + 1))
+        parts = []
+        for k in range(len(names)):
+            ends, stops = np.cumsum(n[bounds[k] : bounds[k + 1]]), np.cumsum(given[:, k])
+            cuts = np.union1d(ends, stops)
+            cuts = cuts[cuts > 0]
+            start = np.concatenate([[0], cuts[:-1]])
+            doc, window = np.searchsorted(ends, start, side="right"), np.searchsorted(stops, start, side="right")
+            of_doc = start - (ends[doc] - n[bounds[k] + doc])
+            at = base[window, k] + start - (stops[window] - given[window, k])
+            parts.append((bounds[k] + doc, of_doc, cuts - start, at))
+        doc, start, length, at = (np.concatenate(x) for x in zip(*parts))
+        blobs = docs.column("ids").combine_chunks()
+        crc, last, ids = np.zeros(len(doc), np.int64), -1, b""
+        for i, (d, a, b) in enumerate(zip(doc.tolist(), start.tolist(), (start + length).tolist())):
+            if d != last:
+                raw = blobs[d].as_buffer()
+                ids = memoryview(np.frombuffer(raw, "<u2" if len(raw) == 2 * n[d] else "<u4").astype("<u4").tobytes())
+                last = d
+            crc[i] = zlib.crc32(ids[4 * a : 4 * b])
+        columns = [docs.column("doc_id").take(pa.array(doc)), start, length, crc, n[doc], at // sequence, at % sequence, docs.column("source").take(pa.array(doc))]
+        return tidy(pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_PIECES))
 
     return serve
 
@@ -251,21 +296,21 @@ def pack(
     source_col: str = "source",
     sequence: int = SEQUENCE,
     end_id: int = END_ID,
-    quantum: int = QUANTUM,
     lane_bytes: int | None = None,
 ) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source``.
 
     A document's ids are those of its whole text, then ``end_id``; every id lies in exactly one piece. Sequences hold
     ``sequence`` tokens and are gapless; only the last may be shorter. ``targets`` are the wanted proportions of
-    tokens by source (others share what is left over by their size); without, the corpus' own. A source that runs dry
-    before the others leaves its share to them, as every document must be packed.
+    tokens by source (others share what is left over by their size); without, the corpus' own. Every full window holds
+    them to a token or so while all queues of its lane have tokens; a source that runs dry before the others leaves its
+    share to them, as every document must be packed, and so each lane's last windows make up for its own mixture.
 
     A null text is empty (its end id alone), a null source a source of its own, a null id is carried on. Rows that
     repeat an id are packed each. An empty table gives no rows. Other columns are ignored.
     """
     _, size = text_stats(docs, text_col)
-    n_lanes = max(1, -(-size // lane_bytes)) if lane_bytes else grid(size)[0]
+    n_lanes = max(1, -(-size // lane_bytes) if lane_bytes else grid(size)[0] // LANE_BLOCKS)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")
     lanes = _laned(docs, id_col, text_col, source, n_lanes)
     ids = materialize(tokenize(lanes, tokenizer_path, end_id), "tokens")
@@ -299,7 +344,7 @@ def pack(
         .select("block", "source", "position", "share", (F.col("share") * F.col("position") - F.col("given")).alias("deficit"))
     )
     return ids.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(
-        _round_robin(sequence, quantum),
+        _round_robin(sequence),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string",
     )
 
