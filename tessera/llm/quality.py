@@ -30,9 +30,9 @@ def _level(x: np.ndarray) -> np.ndarray:
 
 def _portion(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
-    words, offsets = word_hashes(texts, SPACES, LOWER)
+    words, offsets = word_hashes(texts, SPACES, LOWER, None)
     text = np.repeat(np.arange(n), np.diff(offsets))
-    marks, mark_offsets = word_hashes([t.translate(_MARKS.tobytes()) for t in texts], SPACES)
+    marks, mark_offsets = word_hashes([t.translate(_MARKS.tobytes()) for t in texts], SPACES, lane=None)
     mark_text = np.repeat(np.arange(n), np.diff(mark_offsets))
     sizes = np.array([len(t) for t in texts])
     buf = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
