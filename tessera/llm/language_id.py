@@ -17,10 +17,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: About so many texts of each language are learned from, and of their word types at most so many of the commonest.
-TRAIN_TEXTS, TRAIN_WORDS = 1000, 20_000
-#: Longer words are scored in runs of this many letters; pieces beyond the length are not used.
-RUN, LONGEST = 24, 10
+from .common import portions
+
+#: About so many texts of each language are learned from, and at most so many languages are told apart.
+TRAIN_TEXTS, MAX_LANGUAGES = 1000, 1000
+#: Words of more letters are summed in logarithms, as products of their probabilities may be too small for a float.
+PLAIN_LETTERS = 32
+#: Words of more letters aren't remembered; words times letters that are summed at once.
+REMEMBERED_LETTERS, CELLS = 64, 1 << 16
 #: Probability of a letter as a piece of its own, for letters the vocabulary or the language lacks.
 FLOOR = 1e-7
 UNDETERMINED = "und"
@@ -31,12 +35,8 @@ _BITS = 20
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, each after the vocabulary's mark for a word's beginning."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        w = "▁" + w
-        out += [w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w), RUN)]
-    return out
+    """Lower-cased runs of letters, whole, each after the vocabulary's mark for a word's beginning."""
+    return ["▁" + w for w in _WORD.findall(text.lower())]
 
 
 def vocabulary(path: str) -> list[str]:
@@ -45,18 +45,19 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in pieces if len(p) <= LONGEST and regex.fullmatch(r"▁?[\p{L}\p{M}]*", p) and p == p.lower())
+    return sorted(p for p in pieces if regex.fullmatch(r"▁?[\p{L}\p{M}]*", p) and p == p.lower())
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+    """Character codes, shorter words filled up with one that no piece has."""
+    return np.frombuffer("".join(w.ljust(n, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
 
 
 class Pieces:
     """Piece numbers of all substrings of many words at once, by a hash table."""
 
     def __init__(self, pieces: list[str]):
-        self.count = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.keys = np.zeros(1 << _BITS, np.uint64)
         self.ids = np.full(1 << _BITS, -1, np.int32)
         for i, p in enumerate(pieces):
@@ -80,21 +81,28 @@ class Pieces:
         return out
 
     def edges(self, words: list[str], n: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """For words of n letters: (begin, end, piece number or -1 of each word there)."""
+        """For words of up to n letters: (begin, end, piece number or -1 of each word there)."""
         codes = _codes(words, n)
         for end in range(1, n + 1):
             h, power = np.zeros(len(words), np.uint64), 1
-            for begin in range(end - 1, max(-1, end - 1 - LONGEST), -1):
+            for begin in range(end - 1, max(-1, end - 1 - self.longest), -1):
                 h = h + codes[:, begin] * np.uint64(power)
                 power = power * int(_BASE) % (1 << 64)
                 yield begin, end, self.find(h)
 
 
-def _by_length(words: list[str]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        out.setdefault(len(w), []).append(i)
-    return out
+def _groups(words: list[str]) -> Iterator[tuple[list[int], int]]:
+    """Places of words that are summed together, and the letters of the longest: short ones by length, long ones with their like."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    group: list[int] = []
+    for i in order:
+        n, last = len(words[i]), len(words[group[-1]]) if group else 0
+        if group and (n * (len(group) + 1) > CELLS or (n != last and n <= PLAIN_LETTERS) or last <= PLAIN_LETTERS < n):
+            yield group, last
+            group = []
+        group.append(i)
+    if group:
+        yield group, len(words[group[-1]])
 
 
 @dataclass
@@ -113,40 +121,59 @@ class LanguageModel:
             self._index = Pieces(self.pieces)
         return self._index
 
-    def _forward(self, words: list[str], n: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
-        alpha = np.zeros((n + 1, len(words), len(self.languages)))
-        alpha[0] = 1
-        edges = []
+    def _edges(self, words: list[str], n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, words with a piece there, pieces): single letters always are one, the last row's if need be."""
         for begin, end, piece in self.index.edges(words, n):
             at = np.flatnonzero(piece >= 0) if end - begin > 1 else np.arange(len(words))
             if len(at):
-                alpha[end, at] += alpha[begin, at] * self.probability[piece[at]]  # -1: the last row
-                edges.append((begin, end, at, piece[at]))
+                yield begin, end, at, piece[at]
+
+    def _forward(self, words: list[str], n: int, keep: bool = False) -> tuple[np.ndarray, list]:
+        """Sums over the segmentations of all beginnings, as logarithms if n is above ``PLAIN_LETTERS``."""
+        logs = n > PLAIN_LETTERS
+        p = np.log(self.probability) if logs else self.probability
+        alpha = np.full((n + 1, len(words), len(self.languages)), -np.inf if logs else 0.0)
+        alpha[0] = 0 if logs else 1
+        edges = []
+        for begin, end, at, piece in self._edges(words, n):
+            if logs:
+                alpha[end, at] = np.logaddexp(alpha[end, at], alpha[begin, at] + p[piece])
+            else:
+                alpha[end, at] += alpha[begin, at] * p[piece]
+            if keep:
+                edges.append((begin, end, at, piece))
         return alpha, edges
 
     def log_likelihood(self, words: list[str]) -> np.ndarray:
         """Words x languages."""
         out = np.zeros((len(words), len(self.languages)))
-        for n, at in _by_length(words).items():
-            for k in range(0, len(at), 4096):
-                part = at[k : k + 4096]
-                out[part] = np.log(self._forward([words[i] for i in part], n)[0][n])
+        for part, n in _groups(words):
+            own = [words[i] for i in part]
+            last = self._forward(own, n)[0][[len(w) for w in own], np.arange(len(own))]
+            out[part] = last if n > PLAIN_LETTERS else np.log(last)
         return out
 
     def expected(self, words: list[str], weight: np.ndarray) -> np.ndarray:
         """Expected piece counts of words, each as often as ``weight`` (words x languages) says."""
         counts = np.zeros_like(self.probability)
-        for n, where in _by_length(words).items():
-            for k in range(0, len(where), 4096):
-                part = where[k : k + 4096]
-                alpha, edges = self._forward([words[i] for i in part], n)
-                beta = np.zeros_like(alpha)
-                beta[n] = 1
-                scale = weight[part] / alpha[n]
-                for begin, end, at, piece in reversed(edges):
-                    flow = self.probability[piece] * beta[end, at]
+        for part, n in _groups(words):
+            own = [words[i] for i in part]
+            logs, lengths, each = n > PLAIN_LETTERS, [len(w) for w in own], np.arange(len(own))
+            alpha, edges = self._forward(own, n, keep=True)
+            beta = np.full_like(alpha, -np.inf if logs else 0.0)
+            beta[lengths, each] = 0 if logs else 1
+            total = alpha[lengths, each]
+            p = np.log(self.probability) if logs else self.probability
+            for begin, end, at, piece in reversed(edges):
+                if logs:
+                    flow = p[piece] + beta[end, at]
+                    beta[begin, at] = np.logaddexp(beta[begin, at], flow)
+                    share = np.exp(alpha[begin, at] + flow - total[at])
+                else:
+                    flow = p[piece] * beta[end, at]
                     beta[begin, at] += flow
-                    np.add.at(counts, piece, alpha[begin, at] * flow * scale[at])
+                    share = alpha[begin, at] * flow / total[at]
+                np.add.at(counts, piece, share * weight[part][at])
         return counts
 
 
@@ -156,25 +183,31 @@ def fit(texts: list[tuple[str, str]], pieces: list[str], rounds: int = 3, smooth
     counts: dict[str, Counter] = {lang: Counter() for lang in languages}
     for lang, text in texts:
         counts[lang].update(words_of(text))
-    common = sorted({w for c in counts.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]})
-    weight = np.array([[counts[lang][w] for lang in languages] for w in common], float).reshape(len(common), len(languages))
+    types = sorted({w for c in counts.values() for w in c})
+    weight = np.array([[counts[lang][w] for lang in languages] for w in types], float).reshape(len(types), len(languages))
     p = np.tile(0.1 ** np.array([len(x) / 2 for x in pieces] + [2.0])[:, None], (1, len(languages)))
     model = LanguageModel(languages, pieces, np.maximum(p / p.sum(axis=0), FLOOR))
     for _ in range(rounds):
-        c = model.expected(common, weight) + smoothing
+        c = model.expected(types, weight) + smoothing
         c[-1] += 1
         model.probability = np.maximum(c / c.sum(axis=0), FLOOR)
     return model
 
 
 def train(docs: DataFrame, vocabulary_path: str, texts_per_language: int = TRAIN_TEXTS) -> LanguageModel:
-    """Learns from ``docs`` (doc_id, text, lang): by a hash of the id about ``texts_per_language`` of each language."""
+    """Learns from ``docs`` (doc_id, text, lang): by a hash of id and text about ``texts_per_language`` of each language.
+
+    All word types of these texts count. Rows without text or language are skipped. A language is a category: more than
+    ``MAX_LANGUAGES`` of them are an error.
+    """
     rows = docs.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return fit([], vocabulary(vocabulary_path))
     limit = F.create_map(*[F.lit(x) for k, v in sorted(sizes.items()) for x in (k, min(1.0, texts_per_language / v))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) / F.lit(1 << 20)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1 << 20)) / F.lit(1 << 20)
     got = rows.where(draw <= F.element_at(limit, F.col("lang"))).select("lang", "text").collect()
     return fit(sorted((r["lang"], r["text"]) for r in got), vocabulary(vocabulary_path))
 
@@ -192,18 +225,25 @@ class _Scorer:
         if len(self.index) > _CACHE:
             self.clear()
         split = [words_of(t) for t in texts]
-        if new := sorted(set().union(*split).difference(self.index)):
+        words = set().union(*split)
+        if new := sorted(w for w in words if len(w) <= REMEMBERED_LETTERS and w not in self.index):
             for w in new:
                 self.index[w] = len(self.index)
             self.table = np.concatenate([self.table, self.model.log_likelihood(new)])
+        long = sorted(w for w in words if len(w) > REMEMBERED_LETTERS)
+        table = self.table
+        far = {w: len(table) + k for k, w in enumerate(long)}
+        if far:
+            table = np.concatenate([table, self.model.log_likelihood(long)])
         langs, scores = [], []
         for words in split:
             if not words or not self.model.languages:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            x = self.table[at].sum(axis=0)
+            find = (lambda w: far[w] if w in far else self.index[w]) if far else self.index.__getitem__
+            at = np.fromiter(map(find, words), np.int64, len(words))
+            x = table[at].sum(axis=0)
             p = np.exp(x - x.max())
             k = int(np.argmax(p))
             langs.append(self.model.languages[k])
@@ -222,8 +262,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for begin, end in portions(batch.column("text"), 512):
+                part = batch.slice(begin, end - begin)
                 langs, scores = scorer.score([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -237,4 +277,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = train(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
-    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

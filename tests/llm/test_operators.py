@@ -383,6 +383,60 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(np.exp(model.log_likelihood([w])[0, 0]), brute(w))
 
 
+def brute_counts(model, pieces, w):
+    """Probability of a word and expected counts of its pieces, from every segmentation on its own."""
+    found = []
+
+    def cut(rest, used, p):
+        if not rest:
+            found.append((p, used))
+        for k in range(1, len(rest) + 1):
+            x = rest[:k]
+            if x in pieces or k == 1:
+                row = pieces.index(x) if x in pieces else -1
+                cut(rest[k:], [*used, row], p * model.probability[row, 0])
+
+    cut(w, [], 1.0)
+    total = sum(p for p, _ in found)
+    counts = np.zeros(len(model.probability))
+    for p, used in found:
+        for row in used:
+            counts[row] += p / total
+    return total, counts
+
+
+def test_long_words_and_long_pieces(monkeypatch):
+    pieces = ["a", "ab", "b", "▁", "▁a", "abababababababab"[:14]]
+    p = np.array([[0.2], [0.3], [0.1], [0.15], [0.05], [0.02], [1e-7]])
+    model = language_id.LanguageModel(["x"], pieces, p)
+    word = "▁" + "ab" * 29 + "a"  # 60 letters: by dynamic programming with exact fractions
+    from fractions import Fraction
+
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        sums.append(sum((sums[b] * Fraction(float(p[pieces.index(word[b:end]), 0])) for b in range(max(0, end - 14), end) if word[b:end] in pieces), Fraction(0)))
+    import math
+
+    exact = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+    assert abs(model.log_likelihood([word])[0, 0] - exact) < 1e-9
+    huge = model.log_likelihood(["▁" + "ab" * 3000, "▁" + "z" * 500, "▁a"])[:, 0]
+    assert np.isfinite(huge).all() and np.isclose(huge[1], np.log(0.15) + 500 * np.log(1e-7))
+    words, weight = ["▁ab", "▁aabab", "▁zb", "▁abab"], np.array([[1.0], [2.0], [1.0], [3.0]])
+    expected = sum(weight[k, 0] * brute_counts(model, pieces, w)[1] for k, w in enumerate(words))
+    for limit in (32, 2):  # plain and in logarithms
+        monkeypatch.setattr(language_id, "PLAIN_LETTERS", limit)
+        assert np.allclose(model.expected(words, weight)[:, 0], expected)
+        assert np.allclose(np.exp(model.log_likelihood(words)[:, 0]), [brute_counts(model, pieces, w)[0] for w in words])
+
+
+def test_language_of_long_texts():
+    model = language_id.fit([("en", "the house of the water " * 50), ("de", "das haus und das wasser " * 50)], language_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    assert max(map(len, model.pieces)) > 10
+    scorer = language_id._Scorer(model)
+    langs, scores = scorer.score(["das haus " * 20_000, "the" * 2000, "", "1 2", "das"])
+    assert langs[0] == "de" and langs[2] == langs[3] == "und" and langs[4] == "de" and 0 <= min(scores) <= max(scores) <= 1
+
+
 PAGE = """<html><head><title>T</title><style>x</style></head><body><header>Site name</header><nav><ul><li><a href=/a>Menu</a></ul></nav>
 <div id="cookie-banner">We use cookies and a lot of other things on this page.</div><{tag} class="post"><h1>Head &amp; line</h1>
 <p>First   paragraph with <b>bold</b> text that is quite long, to be the content of the page.<p>Short.</p><script>var a="</p>";</script>
