@@ -459,6 +459,72 @@ def test_html_odd_pages(spark):
     check([tuple(r) for r in html_extraction.extract_main_text(df).collect()], [(1, "u", ""), (1, "u", ""), (None, None, "a")])
 
 
+LONG = "A paragraph of the article itself, with a sentence that goes on for quite a while before it ends at last."
+#: No names, no semantic tags: what is content shows in the ratios alone.
+BARE = (
+    "<body><div>" + "".join(f"<span><b>tag number {i}</b></span><br>" for i in range(60)) + "</div>"
+    f"<div><h1>Title of the piece</h1><p>{LONG}</p><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>"
+    "<div>" + "".join(f"<i>item {i}</i><br>" for i in range(9)) + "</div></body>"
+)
+
+
+def test_html_ratios_select_the_region(monkeypatch):
+    wanted = f"Title of the piece {LONG} {LONG} Short one. {LONG}"
+    assert html_extraction.main_text(BARE) == wanted
+    monkeypatch.setattr(html_extraction, "smooth", lambda x, sigma: [1.0] * len(x))
+    assert html_extraction.main_text(BARE) != wanted
+
+
+def test_html_cluster_against_numpy():
+    r = random.Random(4)
+    for n in (1, 2, 5, 60):
+        lines = [(0, "x" * r.randrange(1, 200), r.randrange(0, 9), 0) for _ in range(n)]
+        x = np.array([len(t) / max(1, k) for _, t, k, _ in lines])
+        kernel = np.exp(-((np.arange(n)[:, None] - np.arange(n)[None, :]) / html_extraction.SIGMA) ** 2 / 2)
+        kernel[abs(np.arange(n)[:, None] - np.arange(n)[None, :]) > 2 * html_extraction.SIGMA] = 0
+        smoothed = kernel @ x / kernel.sum(axis=1)
+        assert np.allclose(html_extraction.smooth(x.tolist(), html_extraction.SIGMA), smoothed)
+        assert html_extraction.content_cluster(lines) == (smoothed >= smoothed.std() - 1e-12).tolist()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p class="ad">Advert<p>Second paragraph', "Second paragraph"),
+        ('<ul><li class="share">Share<li>After list</ul>', "After list"),
+        ('<table><tr><td class="ad">Ad<td>Cell<tr><td>More</table>', "Cell More"),
+        ('<dl><dt class="ad">Ad<dd>Kept</dl>', "Kept"),
+        ('<section class="related-work"><p>Related work</section><div id="comments-on-method"><p>On method</div>', "Related work On method"),
+        ('<p>x</p><div class="cookie-banner-wrapper">We</div><div id="postComments">say</div>', "x"),
+        ("<p>a <math><mi>b</mi></math> <b>c</b>d", "a b cd"),
+    ],
+)
+def test_html_blocks_left_open_and_names(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x" + "</div>" * 50_000, "<i><p>" + "<b>" * 50_000 + "</i>" * 50_000 + "x", "<div>" * 20_000 + "<li>x" * 20_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    assert html_extraction.main_text(page).startswith("x")
+    assert time.perf_counter() - began < 30
+
+
+def test_html_accuracy_on_the_tables():
+    """All pages of the smallest tables, whose article is marked: its blocks, from a regular expression of their own."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist():
+        body = re.sub(r"</?(?:p|h1|br|li|ul|div)\b[^>]*>", "\n", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+        lines = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in body.split("\n")]
+        assert html_extraction.main_text(page) == " ".join(x for x in lines if x)
+
+
 def cosine(line, templates):
     idf, unit = license_scan.template_weights(templates)
     words = license_scan.words_of(line)
