@@ -1,19 +1,26 @@
-"""Benchmark decontamination: a broadcast hash set of normalised test n-grams against every training window."""
+"""Benchmark decontamination: a broadcast hash set of normalised test n-grams against every training window.
+
+The set is a sorted array of window hashes with each window's place in the benchmark's normalised text, so a hit is
+verified word by word. A benchmark whose set would exceed the bound for a broadcast is scanned in portions, the spans found so
+far being written to the shared folder between them: no plan and no worker ever holds more than one portion.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, portions, tidy
 from .textgrams import LOWER, NON_WORD, covered, intervals, window_hashes, word_hashes
 
 NGRAM = 10
-#: Bytes of benchmark text in one broadcast; a larger benchmark is scanned in several passes of this size.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of a broadcast index, of which every Python worker holds a copy; a larger benchmark is scanned in several passes.
+BROADCAST_BYTES = 64 << 20
 _FOLD = bytes(0x20 if NON_WORD[i] else int(LOWER[i]) for i in range(256))
 
 
@@ -22,46 +29,62 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _index(items: list[tuple[int, bytes]], ngram: int) -> dict[int, tuple[np.ndarray, dict[bytes, list[int]]]]:
-    """By window length: sorted hashes of the windows, and each window's words with the items that have it."""
-    grams: dict[int, dict[bytes, list[int]]] = {}
-    for item, text in items:
-        words = normal_words(text)
-        size = min(ngram, len(words))
-        if not size:
-            continue
-        of = grams.setdefault(size, {})
-        for i in range(len(words) - size + 1):
-            ids = of.setdefault(b" ".join(words[i : i + size]), [])
-            if item not in ids[-1:]:
-                ids.append(item)
-    out = {}
-    for size, of in grams.items():
-        h, at = word_hashes(list(of), NON_WORD, LOWER)
-        out[size] = (np.unique(window_hashes(h, at, size)[0]), {k: sorted(set(v)) for k, v in of.items()})
-    return out
+@dataclass(frozen=True)
+class Index:
+    """Windows of some items: by window length, sorted hashes and the place in ``text`` and item of each."""
 
+    text: bytes
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-def _scan(texts: list[bytes], index: dict) -> list[tuple[np.ndarray, set[int], int]]:
+    @property
+    def size(self) -> int:
+        return len(self.text) + sum(x.nbytes for arrays in self.windows.values() for x in arrays)
+
+
+def index_of(items: list[tuple[int, bytes]], ngram: int) -> Index:
+    """Items by window length: those of fewer words than ``ngram`` are one window as a whole."""
+    by_size: dict[int, list[tuple[int, bytes]]] = {}
+    for item, text in sorted(set(items)):
+        words = normal_words(text)
+        if words:
+            by_size.setdefault(min(ngram, len(words)), []).append((item, b" ".join(words)))
+    text, windows = [], {}
+    base = 0
+    for size, group in sorted(by_size.items()):
+        h, offsets = word_hashes([t for _, t in group], NON_WORD, LOWER, None)
+        w, first, of = window_hashes(h, offsets, size)
+        joined = b" ".join(t for _, t in group)
+        ends = np.flatnonzero(np.frombuffer(joined + b" ", np.uint8) == 0x20)
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        order = np.argsort(w, kind="stable")
+        items_of = np.array([i for i, _ in group], np.int64)[of]
+        windows[size] = (w[order], (base + begins[first])[order], (base + ends[first + size - 1])[order], items_of[order])
+        text.append(joined)
+        base += len(joined) + 1
+    return Index(b" ".join(text), windows)
+
+
+def scan(texts: list[bytes], index: Index) -> list[tuple[np.ndarray, set[int], int]]:
     """For each text: which words are hit, the items found, the number of words."""
-    h, at = word_hashes(texts, NON_WORD, LOWER)
-    found: dict[int, list[tuple[int, int]]] = {}
-    for size, (hashes, _) in index.items():
-        if not len(hashes):
-            continue
+    h, at = word_hashes(texts, NON_WORD, LOWER, None)
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
+    for size, (hashes, *_) in index.windows.items():
         w, first, text = window_hashes(h, at, size)
-        slot = np.minimum(np.searchsorted(hashes, w), len(hashes) - 1)
-        for k in np.flatnonzero(hashes[slot] == w):
-            found.setdefault(int(text[k]), []).append((int(first[k] - at[text[k]]), size))
+        low = np.searchsorted(hashes, w)
+        for k in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == w):
+            high = int(np.searchsorted(hashes, w[k], side="right"))
+            found.setdefault(int(text[k]), []).append((int(first[k] - at[text[k]]), size, int(low[k]), high))
     out = []
     for i, t in enumerate(texts):
         n, items = int(at[i + 1] - at[i]), set()
         starts, sizes = [], []
         if i in found:
             words = normal_words(t)
-            for s, size in found[i]:  # hashes only propose
-                if ids := index[size][1].get(b" ".join(words[s : s + size])):
-                    items.update(ids)
+            for s, size, low, high in found[i]:  # hashes only propose
+                _, begins, ends, of = index.windows[size]
+                own = b" ".join(words[s : s + size])
+                if same := [k for k in range(low, high) if index.text[begins[k] : ends[k]] == own]:
+                    items.update(of[same].tolist())
                     starts.append(s)
                     sizes.append(size)
         hit = covered(np.array(starts, np.int64), np.array(sizes, np.int64), n) if starts else np.zeros(n, bool)
@@ -72,18 +95,22 @@ def _scan(texts: list[bytes], index: dict) -> list[tuple[np.ndarray, set[int], i
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Benchmark items in portions of at most ``limit`` bytes (a longer single item makes a portion of its own)."""
+def _portions(benchmark: DataFrame, item_col: str, text_col: str, ngram: int, limit: int) -> Iterator[Index]:
+    """Indexes of at most about ``limit`` bytes. A longer item is cut into parts that share all but one word of a window, as it alone may exceed it."""
     portion, size = [], 0
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    for row in items.where("i is not null and t is not null").toLocalIterator():
-        text = row["t"].encode()
-        if portion and size + len(text) > limit:
-            yield portion
-            portion, size = [], 0
-        portion.append((row["i"], text))
-        size += len(text)
-    yield portion
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    for row in items.toLocalIterator():
+        words = normal_words(row["t"].encode())
+        step = max(1, limit // 48)
+        for begin in range(0, max(1, len(words) - ngram + 1), step):
+            part = words[begin : begin + step + ngram - 1]
+            cost = 32 * len(part) + sum(map(len, part)) + len(part)  # of a window: hash, place, item; of a word: its bytes
+            if portion and size + cost > limit:
+                yield index_of(portion, ngram)
+                portion, size = [], 0
+            portion.append((row["i"], b" ".join(part)))
+            size += cost
+    yield index_of(portion, ngram)
 
 
 def find_contamination(
@@ -105,8 +132,8 @@ def find_contamination(
     words of an item, or the whole of a shorter item. Null texts have no words. Items without id or text are ignored;
     repeated items count once; repeated documents each get their row; columns not carried are ignored.
 
-    Only the benchmark is broadcast, ``broadcast_bytes`` of it at a time; every further portion is one more
-    pass that adds to the spans found so far.
+    Only an index of the benchmark is broadcast, about ``broadcast_bytes`` of it at a time; every further portion is one
+    more pass over what the last one wrote, which adds to the spans found so far.
     """
     spark = docs.sparkSession
     out = docs.select(
@@ -118,27 +145,32 @@ def find_contamination(
         F.array().cast("array<long>").alias("items"),
     )
     schema = out.schema
-    for portion in _passes(benchmark, item_col, item_text_col, broadcast_bytes):
-        index = spark.sparkContext.broadcast(_index(portion, ngram))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    shared = None
+    for index in _portions(benchmark, item_col, item_text_col, ngram, broadcast_bytes):
+        if shared is not None:
+            out = materialize(out, "spans")
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols = batch.to_pydict()
-                texts = [(t or "").encode() for t in cols["text"]]
-                counts, spans, items = [], [], []
-                for k, (hit, more, n) in enumerate(_scan(texts, index.value)):
-                    for s in cols["spans"][k] or []:
-                        hit[s["begin"] : s["end"]] = True
-                    begins, ends = intervals(hit)
-                    counts.append(n)
-                    spans.append([{"begin": int(b), "end": int(e)} for b, e in zip(begins, ends)])
-                    items.append(sorted(more | set(cols["items"][k] or [])))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))],
-                    names=batch.schema.names,
-                )
-
-        out = out.mapInArrow(scan, schema)
+                for begin, end in portions(batch.column("text")):
+                    part = batch.slice(begin, end - begin)
+                    texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+                    had = zip(part.column("spans").to_pylist(), part.column("items").to_pylist())
+                    counts, spans, items = [], [], []
+                    for (hit, more, n), (old, of) in zip(scan(texts, shared.value), had):
+                        for s in old or []:
+                            hit[s["begin"] : s["end"]] = True
+                        begins, ends = intervals(hit)
+                        counts.append(n)
+                        spans.append([{"begin": int(b), "end": int(e)} for b, e in zip(begins, ends)])
+                        items.append(sorted(more | set(of or [])))
+                    columns = [*part.columns[:-3], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+            tidy(None)
+
+        out = out.mapInArrow(run, schema)
     return out
 
 

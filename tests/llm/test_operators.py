@@ -51,8 +51,11 @@ def test_exact_dedup(spark):
     for d in (None, digest):
         out = exact_dedup.exact_dedup(df, digest=d).collect()
         check([(r["doc_id"], r["keep_id"], r["group_size"]) for r in out], expected)
-        assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in out if r["doc_id"] is not None)
+        assert sum(r["kept"] for r in out) == len(groups)  # of rows that repeat id and text, one
+        assert all(r["doc_id"] == r["keep_id"] for r in out if r["kept"])
     assert exact_dedup.exact_dedup(make(spark, ROWS[:0])).count() == 0
+    alone = exact_dedup.exact_dedup(make(spark, [(None, "x"), (None, "x")])).collect()
+    assert [(r["doc_id"], r["keep_id"], r["group_size"]) for r in alone] == [(None, None, 2)] * 2 and sum(r["kept"] for r in alone) == 1
 
 
 def test_substring_dedup(spark):
@@ -199,6 +202,41 @@ def test_decontamination(spark):
     assert decontamination.find_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_by_brute_force(spark):
+    """Random items and texts; portions of any size give the same, and each plan holds one of them."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(6)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([1, 2, 3, 4, 5, 40])))) for i in range(12)]
+    docs = [(i, " ".join(r.choices([*words, "W1.", "é"], k=r.randrange(0, 60)))) for i in range(40)]
+    normal = lambda t: decontamination.normal_words(t.encode())
+    expected = []
+    for i, t in docs:
+        w, hit, found = normal(t), set(), set()
+        for item, x in items:
+            b = normal(x)
+            k = min(3, len(b))
+            grams = {tuple(b[j : j + k]) for j in range(len(b) - k + 1)}
+            at = [j for j in range(len(w) - k + 1) if tuple(w[j : j + k]) in grams]
+            found |= {item} if at else set()
+            hit.update(p for j in at for p in range(j, j + k))
+        expected.append((i, len(w), sorted(hit), sorted(found)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, 500):
+        out = decontamination.find_contamination(make(spark, docs), bench, ngram=3, broadcast_bytes=limit)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        got = [(r["doc_id"], r["n_words"], [p for s in r["spans"] for p in range(s["begin"], s["end"])], r["items"]) for r in out.collect()]
+        check(got, expected)
+
+
+def test_decontamination_index_is_bounded(spark):
+    r = random.Random(1)
+    items = [(i, " ".join(f"x{r.randrange(10**6)}" for _ in range(2000))) for i in range(60)]
+    bench = spark.createDataFrame([*items, (99, " ".join(f"y{i}" for i in range(40_000)))], "item_id long, text string")
+    limit = 1 << 20
+    sizes = [x.size for x in decontamination._portions(bench, "item_id", "text", 10, limit)]
+    assert len(sizes) > 4 and max(sizes) <= 1.1 * limit
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
