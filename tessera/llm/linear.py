@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 #: From the texts of a batch to (feature, index of the text), each feature once for a text.
 Features = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
@@ -24,24 +26,40 @@ def to_bytes(column: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, features: Features, max_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+#: Bytes of text that a classifier is fitted on at most, besides its bound on rows; a text longer than this is not learned from.
+TRAIN_BYTES = 64 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, features: Features, max_rows: int, max_bytes: int = TRAIN_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of at most ``max_rows`` rows of ``labels`` (doc_id, label), picked by a hash of the id.
 
-    The ids picked, at most ``max_rows`` of them, are broadcast; features are made where the texts are.
+    The ids picked, at most ``max_rows`` of them, are broadcast, and features are made where the texts are. Rows that repeat
+    an id count each; of all rows with the ids picked the first ``max_rows`` count, in the order of that hash, the id, the
+    label and the text's hash, as far as their texts together have ``max_bytes``.
     """
-    picked = labels.where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
+    picked = labels.where("doc_id is not null and label is not null").orderBy(*order).limit(max_rows)
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("mark"))
+    order = [*order, F.col("mark")]
+    first = rows.select("doc_id", "label", "mark", "size").orderBy(*order).limit(max_rows).collect()  # some 40 bytes a row
+    total = np.cumsum([r["size"] for r in first])
+    first = first[: int(np.searchsorted(total, max_bytes, side="right"))]
+    if not first:
+        return [], np.zeros(0, np.int64)
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"], r["mark"]) for r in first], "doc_id long, label int, mark long").distinct()
+    chosen = rows.join(F.broadcast(wanted), ["doc_id", "label", "mark"]).select("doc_id", "label", "mark", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for begin, end in portions(batch.column("text")):
+                part = batch.slice(begin, end - begin)
                 f, i = features(to_bytes(part.column("text")))
                 cuts = np.searchsorted(i, np.arange(part.num_rows + 1))
                 blobs = [f[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "f"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blobs, pa.binary())], names=["doc_id", "label", "mark", "f"])
 
-    got = sorted(rows.mapInArrow(extract, "doc_id long, label int, f binary").limit(2 * max_rows).collect(), key=lambda r: (r["doc_id"], r["label"]))
+    got = chosen.mapInArrow(extract, "doc_id long, label int, mark long, f binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "mark").limit(len(first)).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["label"], r["mark"]))
     order = np.random.default_rng(7).permutation(len(got))
     return [np.frombuffer(got[i]["f"], np.uint32) for i in order], np.array([got[i]["label"] for i in order], np.int64)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import portions
 from .linear import SparseWeights, distinct_by_text, labelled_sample, ordinal, sigmoid, to_bytes
 from .textgrams import LOWER, SAME, SPACES, mix, window_hashes, word_hashes
 
@@ -80,18 +81,13 @@ def grade(docs: DataFrame, model: SparseWeights, keep_grade: int = KEEP_GRADE, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = to_bytes(batch.column("text"))
-            total = np.zeros(len(texts))
-            at, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= 1 << 20 or i == len(texts) - 1:
-                    total[at : i + 1] = m.dot(*features(texts[at : i + 1]), i + 1 - at)
-                    at, size = i + 1, 0
-            above = sigmoid(total[:, None] - m.bias[None, :])  # P(grade > k)
-            tail = above[:, keep_grade - 1] if 0 < keep_grade <= above.shape[1] else np.full(len(texts), float(keep_grade <= 0))
-            new = [pa.array(above.sum(axis=1)), pa.array(tail), pa.array(tail >= keep_probability)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+            for begin, end in portions(batch.column("text")):
+                part = batch.slice(begin, end - begin)
+                total = m.dot(*features(to_bytes(part.column("text"))), part.num_rows)
+                above = sigmoid(total[:, None] - m.bias[None, :])  # P(grade > k)
+                tail = above[:, keep_grade - 1] if 0 < keep_grade <= above.shape[1] else np.full(part.num_rows, float(keep_grade <= 0))
+                new = [pa.array(above.sum(axis=1)), pa.array(tail), pa.array(tail >= keep_probability)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
 
     new = [T.StructField(c, T.BooleanType() if c == "accepted" else T.DoubleType()) for c in added]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
@@ -110,4 +106,4 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades by ``labels.quality``, learned from documents whose crc32(doc_id as text) mod 5 is not 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, ratings_of(spark, sf_dir).where(~held_out()))
-    return grade(docs, model).select("doc_id", held_out().alias("held_out"), "expected_grade", "tail_probability", "accepted")
+    return grade(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "expected_grade", "tail_probability", "accepted")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import portions
 from .linear import SparseWeights, distinct_by_text, ftrl, labelled_sample, sigmoid, to_bytes
 from .textgrams import LOWER, NON_WORD, mix, stem_hashes
 
@@ -39,7 +40,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> SparseWeights:
-    """Weights from ``labels`` (doc_id, label 0/1; rows without either are skipped), at most ``max_rows`` rows of them."""
+    """Weights from ``labels`` (doc_id, label 0/1; rows without either are skipped), at most ``max_rows`` rows of them (and ``TRAIN_BYTES`` of text)."""
     rows, y = labelled_sample(docs, labels, features, max_rows)
     return ftrl(rows, y)
 
@@ -55,18 +56,12 @@ def score(docs: DataFrame, model: SparseWeights, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = to_bytes(batch.column("text"))
-            total = np.zeros(len(texts))
-            at, size = 0, 0
-            for i, t in enumerate(texts):  # portions of about a megabyte
-                size += len(t)
-                if size >= 1 << 20 or i == len(texts) - 1:
-                    f, text = _grams(texts[at : i + 1])
-                    ok = m.keep(f)
-                    total[at : i + 1] = m.dot(*distinct_by_text(f[ok], text[ok]), i + 1 - at)
-                    at, size = i + 1, 0
-            p = sigmoid(total + m.bias[0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            for begin, end in portions(batch.column("text")):
+                part = batch.slice(begin, end - begin)
+                f, text = _grams(to_bytes(part.column("text")))
+                ok = m.keep(f)
+                p = sigmoid(m.dot(*distinct_by_text(f[ok], text[ok]), part.num_rows) + m.bias[0])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, score double, predicted int")
@@ -80,4 +75,4 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("label"))
     model = train(docs, labels.where(fold(5) != 0))
-    return score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

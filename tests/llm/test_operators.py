@@ -394,6 +394,95 @@ def test_ordinal_thresholds_separate_grades():
     assert np.array_equal([(s > model.bias).sum() for s in scores], y)
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Every feature of a text spelled out with strings, once each, times its weight."""
+    rows = [(1, "Bad words, BAD ones and a naïve naïveté"), (2, ""), (3, "x y " * 30_000), (4, "one")]
+
+    def feature(kind, *words):
+        h = [textgrams.word_hashes([w], textgrams.NON_WORD, lane=None)[0][0] for w in words]
+        with np.errstate(over="ignore"):
+            x = h[0] if len(h) == 1 else h[0] * toxicity._GRAM + h[1]
+            return int(textgrams.mix(np.array([x + np.uint64(kind)], np.uint64)).astype(np.uint32)[0])
+
+    def brute(text):
+        w, out = decontamination.normal_words(text.encode()), set()
+        for i, x in enumerate(w):
+            out.add(feature(1, x))
+            out.update(feature(2 + k, x[:n]) for k, n in enumerate(toxicity.STEMS))
+            out.update(feature(16 + gap, w[i - gap], x) for gap in (1, 2, 3) if i >= gap)
+        return out
+
+    expected = {i: brute(t if len(t) < 999 else t[:40]) for i, t in rows}
+    f, of = toxicity.features([t.encode() for _, t in rows])
+    assert {i: set(f[of == k].tolist()) for k, (i, _) in enumerate(rows)} == expected
+    names = np.array(sorted(set().union(*expected.values())), np.uint32)[::2]
+    model = linear.SparseWeights(names, np.linspace(-1, 1, len(names)), np.array([0.3]))
+    weight = dict(zip(names.tolist(), model.weights))
+    for r in toxicity.score(make(spark, rows), model).collect():
+        z = 0.3 + sum(weight.get(x, 0.0) for x in expected[r["doc_id"]])
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-z))) and r["predicted"] == (z >= 0)
+
+
+def test_ftrl_against_its_formula():
+    """The published update, one coordinate at a time in plain floats."""
+    import math
+
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 12, 5)).astype(np.uint32) for _ in range(80)]
+    y = r.integers(0, 2, 80)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.4, 1.0
+    z, n = dict.fromkeys([*range(12), "b"], 0.0), dict.fromkeys([*range(12), "b"], 0.0)
+
+    def w(i):
+        lasso = 0.0 if i == "b" else l1
+        if abs(z[i]) <= lasso:
+            return 0.0
+        return -(z[i] - math.copysign(lasso, z[i])) / ((beta + math.sqrt(n[i])) / alpha + (0.0 if i == "b" else l2))
+
+    for _ in range(3):
+        for x, t in zip(rows, y):
+            coords = [*x.tolist(), "b"]
+            now = {i: w(i) for i in coords}
+            g = 1 / (1 + math.exp(-sum(now.values()))) - t
+            for i in coords:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * now[i]
+                n[i] += g * g
+    model = linear.ftrl(rows, y, alpha, beta, l1, l2, epochs=3, least=1)
+    got = dict(zip(model.names.tolist(), model.weights))
+    assert all(np.isclose(got.get(i, 0.0), w(i)) for i in range(12)) and np.isclose(model.bias[0], w("b"))
+    assert any(w(i) == 0 for i in range(12)) and len(got) > 3
+
+
+def test_quality_grades_by_brute_force(spark):
+    """Three grades: expected grade and tail probabilities from the model's weights, and the grades come out in order."""
+    r = random.Random(6)
+    words = ["poor", "fair", "good"]
+    rows = [(i, " ".join([words[i % 3]] * 3 + r.choices(["a", "b", "c", "d", "e"], k=30))) for i in range(240)]
+    docs, ratings = make(spark, rows), spark.createDataFrame([(i, i % 3) for i, _ in rows], "doc_id long, label int")
+    model = quality.train(docs.select("doc_id", "text"), ratings.where("doc_id % 4 <> 0"))
+    assert len(model.bias) == 2
+    out = {x["doc_id"]: x for x in quality.grade(docs.select("doc_id", "text"), model, keep_grade=2).collect()}
+    weight = dict(zip(model.names.tolist(), model.weights))
+    for i, t in rows:
+        f, _ = quality.features([t.encode()])
+        above = [1 / (1 + np.exp(b - sum(weight.get(x, 0.0) for x in f.tolist()))) for b in model.bias]
+        assert np.isclose(out[i]["expected_grade"], sum(above)) and np.isclose(out[i]["tail_probability"], above[1])
+    held = [(round(out[i]["expected_grade"]), i % 3) for i, _ in rows if i % 4 == 0]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    assert np.mean([out[i]["accepted"] == (i % 3 == 2) for i, _ in rows if i % 4 == 0]) > 0.95
+
+
+def test_labelled_sample_is_defined(spark):
+    """Repeated ids, bounds on rows and bytes: the same rows whatever the layout, and no more than the bounds."""
+    docs = spark.createDataFrame([(i % 20, f"text number {i} " * (1 + i % 5)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int")
+    pick = lambda d, **kw: [(r.tolist(), int(t)) for r, t in zip(*linear.labelled_sample(d, labels, toxicity.features, 50, **kw))]
+    one = pick(docs)
+    assert len(one) == 50 and one == pick(docs.repartition(7).orderBy(F.rand(3)))
+    assert 0 < len(pick(docs, max_bytes=500)) < 20 and pick(docs, max_bytes=1) == []
+
+
 def test_language_id(spark):
     r = random.Random(3)
     words = {"en": "the house and water with people think about".split(), "fr": "maison avec les personnes dans eau être pour".split()}
