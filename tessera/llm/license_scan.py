@@ -1,8 +1,8 @@
 """Licence scan: sparse TF-IDF cosine of lines, blocks and whole files to licences, inheritance from the nearest directory.
 
-DataFrame operations only. Of each file with a licence cue its lines, paragraphs, header comment and whole text are sparse
-vectors of their words. Their cosines to all notices and to all headers and full texts of licences come from one broadcast
-join of their words with the templates' weights. A file that consists mostly of licence is a licence file and
+DataFrame operations only. A file whose words cannot reach any template is out at once, by an upper bound of the cosine. Of
+the others the lines, paragraphs, header comment and whole text are sparse vectors of their words. Their cosines to all notices
+and to all headers and full texts of licences come from one broadcast join of their words with the templates' weights. A file that consists mostly of licence is a licence file and
 speaks for its directory; a file without a licence of its own inherits from the nearest directory above it that has one.
 """
 
@@ -89,27 +89,27 @@ def standard_texts() -> dict[str, list[str]]:
     return {k: HEADERS.get(k, []) + full.get(k, []) for k in sorted(HEADERS.keys() | full.keys())}
 
 
-#: A file, and a part of it, takes part if it has one of these or a word that stands for a template without any.
-CUES = r"(?i)licen[cs]|copyright|all\s+rights\s+reserved|redistribut|spdx|reproduced|hereby\s+granted|general\s+public|creative\s+commons"
 #: Parts of fewer words are compared with notices only.
 LONG_WORDS = 16
 MIN_COSINE = 0.6
 #: A file is a licence file if its licence lines hold at least this share of its words.
 FILE_SHARE = 0.3
 MAX_TEMPLATES = 200
-_SPLIT = r"[^a-z0-9.\-]+"
+#: A word: a run of letters, digits, dots and hyphens, without those at its ends.
+_WORD = r"[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?"
+#: Files that may hold a licence are broadcast by id up to this number (16 MB); beyond, they are joined.
+BROADCAST_IDS = 2_000_000
 _PARAGRAPH = r"\n[^\p{L}\p{N}]*\n"
 _BLOCK_COMMENT = r"""(?s)^\s*(?:/\*.*?\*/|<!--.*?-->|\"{3}.*?\"{3}|'{3}.*?'{3})"""
 _COMMENT_LINE = r"(?i)^\s*(?:$|#|//|/?\*|--|;|%|!|\"|'|\.\.|(?:rem|dnl)\b)"
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in (x.strip(".-") for x in re.split(_SPLIT, text.lower())) if w]
+    return re.findall(_WORD, text.lower())
 
 
-def _words(line: Column) -> Column:
-    raw = F.transform(F.split(F.lower(line), _SPLIT), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", ""))
-    return F.filter(raw, lambda w: w != "")
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
 def template_weights(templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
@@ -138,9 +138,9 @@ def phrases_of(license_id: str) -> list[str]:
     return spdx + [f"{g} {n}" for g in GRANTS for n in NAMES.get(license_id, [])]
 
 
-def cues_of(texts: list[str]) -> str:
-    """The cues, with the longest word of each template that has none of them."""
-    return "|".join([CUES, *sorted({re.escape(max(words_of(t), key=len)) for t in texts if not re.search(CUES, t) and words_of(t)})])
+def _phrase_pattern(phrases: list[str]) -> str:
+    """Finds every text that holds one of the phrases as a run of words, and some others."""
+    return "|".join("[^a-z0-9]+".join(re.escape(w) for w in p.split(" ")) for p in sorted(set(phrases)))
 
 
 def _bag(words: Column) -> Column:
@@ -163,6 +163,24 @@ def _parts(text: Column) -> Column:
     )
 
 
+def may_hold(files: DataFrame, units: list[dict[str, float]], phrases: list[str]) -> DataFrame:
+    """The rows of ``files`` (id, path, text) that may hold a licence part; others hold none for certain.
+
+    The cosine of any part of a file to a template is at most the length of the template's unit vector over the words of the
+    file. These bounds are sums over the file's distinct words, by a broadcast join with the templates' words; a file is
+    out if all are below ``MIN_COSINE`` and no phrase occurs in it.
+    """
+    vocabulary = sorted(set().union(*units))
+    squares = pa.table({"w": pa.array(vocabulary, pa.string()), "sq": pa.array([[v.get(w, 0.0) ** 2 for v in units] for w in vocabulary], pa.list_(pa.float64()))})
+    weights = F.broadcast(files.sparkSession.createDataFrame(squares))
+    found = files.select("id", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).join(weights, "w")
+    bounds = found.groupBy("id").agg(*[F.sum(F.col("sq")[k]).alias(f"b{k}") for k in range(len(units))])
+    near = bounds.where(F.greatest(*[F.col(f"b{k}") for k in range(len(units))], F.lit(0.0)) >= MIN_COSINE**2 - 1e-6).select("id")
+    said = files.where(F.lower("text").rlike(_phrase_pattern(phrases))).select("id") if phrases else near
+    ids = materialize(near.union(said).distinct(), "licence-candidates")
+    return files.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_IDS else fresh_join(files, ids, ["id"], "left_semi")
+
+
 def match_parts(files: DataFrame, templates: dict[str, str], texts: dict[str, list[str]]) -> DataFrame:
     """``id, path, line, license_id, score, rank, share`` for each licence part of ``files`` (id, path, text).
 
@@ -185,10 +203,10 @@ def match_parts(files: DataFrame, templates: dict[str, str], texts: dict[str, li
     )
     weights = F.broadcast(files.sparkSession.createDataFrame(table))
 
-    cue = cues_of([*templates.values(), *long.values()])
-    parts = files.where(F.col("text").rlike(cue)).select("id", "path", F.size(_words(F.col("text"))).alias("total"), F.explode(F.filter(_parts(F.col("text")), lambda x: x["part"].rlike(cue))).alias("p"))
-    parts = parts.select("id", "path", "total", F.col("p")["line"].alias("line"), _words(F.col("p")["part"]).alias("words")).where(F.size("words") > 0)
     phrases = [(1, k, phrases_of(k)) for k in sorted(templates.keys() | texts.keys())] + [(0, k, RESERVED[k]) for k in sorted(RESERVED.keys() & unit.keys())]
+    able = may_hold(files, [v for _, _, v, _ in vectors], [p for _, _, v in phrases for p in v])
+    parts = able.select("id", "path", F.size(_words(F.col("text"))).alias("total"), F.explode(_parts(F.col("text"))).alias("p"))
+    parts = parts.select("id", "path", "total", F.col("p")["line"].alias("line"), _words(F.col("p")["part"]).alias("words")).where(F.size("words") > 0)
     held = [(F.lit(rank).alias("rank"), F.lit(k).alias("license_id"), _held(F.col("words"), v).alias("of")) for rank, k, v in phrases]
     named = [F.when(of.isNotNull(), F.struct(rank, k, of)) for rank, k, of in held]
     keys = ["row", "id", "path", "total", "line", "n", "named"]
