@@ -1,47 +1,40 @@
-"""The tokenizer as SQL functions: tok_encode, tok_decode, tok_count and the table function tok_explode."""
+"""The tokenizer as SQL functions of text: tok_pieces, tok_encode, tok_tokens, tok_count, tok_decode and the table function tok_explode.
+
+Segmentation is an expression of built-in functions, so ``tok_pieces`` is a SQL function with that expression as its body.
+Only merging and decoding run in Python, in Arrow batches. Over large tables ``LATERAL VIEW posexplode(tok_tokens(text))`` of a
+subquery is the form to take: Spark turns a lateral ``tok_explode`` into a join on the texts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bpe import encoder_of
+from ..operators.bpe import encode_pieces
 from ..operators.tokenizer import Tokenizer
 
-
-def register(spark: SparkSession, tokenizer: Tokenizer) -> None:
-    """Registers for SQL. The functions take ids or the pieces that :func:`with_pieces` adds to a table."""
-    shared = tokenizer._spec
-    table = tokenizer._id_bytes() | {i: c.encode() for i, c in tokenizer.spec.specials.items()}
-    known = spark.sparkContext.broadcast(table)
-
-    def encode(pieces: list) -> list[int] | None:
-        if pieces is None:
-            return None
-        run = encoder_of(shared)
-        return [i for p in pieces for i in ([p["special"]] if p["special"] is not None else run(p["piece"]))]
-
-    def decode(ids: list[int] | None) -> str | None:
-        return None if ids is None else b"".join(known.value.get(i, b"") for i in ids).decode("utf-8", "replace")
-
-    spark.udf.register("tok_encode", F.udf(encode, "array<int>", useArrow=True))
-    spark.udf.register("tok_decode", F.udf(decode, "string", useArrow=True))
-    spark.udf.register("tok_count", F.udf(lambda p: None if p is None else len(encode(p)), "int", useArrow=True))
-
-    @F.udtf(returnType="pos int, piece string, id int")
-    class Explode:
-        def eval(self, pieces: list) -> Iterator[tuple[int, str | None, int]]:
-            run, pos = encoder_of(shared), 0
-            for p in pieces or []:
-                for i in [p["special"]] if p["special"] is not None else run(p["piece"]):
-                    yield pos, p["piece"], i
-                    pos += 1
-
-    spark.udtf.register("tok_explode", Explode)
-
-
-def with_pieces(df, tokenizer: Tokenizer, text_col: str = "text", out_col: str = "pieces"):
-    """``df`` with the native part of encoding as a column, for use with the SQL functions."""
-    return df.withColumn(out_col, tokenizer.pieces(F.col(text_col)))
+_PIECE = "ARRAY<STRUCT<piece: STRING, special: INT>>"
+#: A string literal, which stays as it is, or an operator in the form of a function.
+_OPERATOR = re.compile(r"'(?:[^'\\\\]|\\\\.)*'|(?<![\w`])(and|or|not|[-=<>!+*/%&|^~]+)\(", re.S)
+
+
+def sql_of(column: Column) -> str:
+    """The SQL text of an expression of built-in functions. Operators such as ``=(a, b)`` are put in backquotes, as functions are called."""
+    return _OPERATOR.sub(lambda m: f"`{m[1]}`(" if m[1] else m[0], column._jc.node().sql())
+
+
+def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") -> None:
+    """Registers the functions ``<prefix>_pieces`` and so on for this session. A null text or list gives null, and no rows of ``_explode``."""
+    spark.udf.register(f"{prefix}__merge", encode_pieces(tokenizer._spec))
+    spark.udf.register(f"{prefix}_decode", tokenizer.decoder())
+    spark.udf.register(f"{prefix}__pairs", encode_pieces(tokenizer._spec, with_pieces=True))
+    parts = "(transform(p, x -> x.piece), transform(p, x -> x.special))"
+    make = "CREATE OR REPLACE TEMPORARY FUNCTION"
+    spark.sql(f"{make} {prefix}_pieces(t STRING) RETURNS {_PIECE} RETURN {sql_of(tokenizer.pieces(F.col('t')))}")
+    spark.sql(f"{make} {prefix}_encode(t STRING) RETURNS ARRAY<INT> RETURN {prefix}__merge{parts.replace('(p,', f'({prefix}_pieces(t),')}")
+    spark.sql(f"{make} {prefix}_count(t STRING) RETURNS INT RETURN size({prefix}_encode(t))")
+    spark.sql(f"{make} {prefix}_tokens(t STRING) RETURNS ARRAY<STRUCT<piece: STRING, id: INT>> RETURN {prefix}__pairs{parts.replace('(p,', f'({prefix}_pieces(t),')}")
+    rows = f"SELECT x.pos, x.col.piece, x.col.id FROM (SELECT {prefix}_tokens(t) AS z) d, LATERAL posexplode(d.z) x"
+    spark.sql(f"{make} {prefix}_explode(t STRING) RETURNS TABLE(pos INT, piece STRING, id INT) RETURN {rows}")

@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sql import register
 from ..functions.text import SEGMENTS, byte_map, byte_table
 from ..operators import metrics
 from ..operators import pretokenizers as pre
@@ -132,12 +133,11 @@ MAPS: dict[str, Callable[[Column], Column]] = {
 
 def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = Tokenizer(spark, small_spec())
-    ids = table(spark, sf_dir, "documents").select("doc_id", tok.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("digest"))
+    return _ids(table(spark, sf_dir, "documents").select("doc_id", tok.encode(F.col("text")).alias("ids")))
 
 
 def token_count_by_lang(spark: SparkSession, sf_dir: str, spec: TokenizerSpec | None = None) -> DataFrame:
-    """Tokens and characters by language: distinct pieces are encoded once."""
+    """Tokens and characters by language."""
     tok = Tokenizer(spark, spec or small_spec())
     docs = table(spark, sf_dir, "documents").select("lang", F.col("text"), tok.encode(F.col("text")).alias("ids"))
     return docs.groupBy("lang").agg(
@@ -146,7 +146,7 @@ def token_count_by_lang(spark: SparkSession, sf_dir: str, spec: TokenizerSpec |
 
 
 def encode_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct pieces, natively merged and joined back: ids by how often they occur."""
+    """Distinct pieces, each merged once and joined back: ids by how often they occur."""
     tok = Tokenizer(spark, small_spec())
     return tok.encode_long(table(spark, sf_dir, "documents")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
@@ -157,6 +157,28 @@ def encode_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.hash("ids").alias("ids_hash"))
 
 
+def _ids(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("digest"))
+
+
+def _sql(query: str) -> Query:
+    """A query in Spark SQL over ``{docs}`` with the functions of the small definition."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, Tokenizer(spark, small_spec()), "small_tok")
+        return spark.sql(query, docs=table(spark, sf_dir, "documents"))
+
+    return run
+
+
+SQL_QUERIES = {
+    "sql_tok_encode": "SELECT doc_id, CAST(small_tok_count(text) AS BIGINT) AS n_ids, sha2(array_join(transform(small_tok_encode(text), i -> CAST(i AS STRING)), ','), 256) AS digest FROM {docs}",
+    "sql_tok_pieces": "SELECT doc_id, CAST(size(p) AS BIGINT) AS n_pieces, sha2(array_join(transform(p, x -> x.piece), '\x1f'), 256) AS digest FROM (SELECT doc_id, small_tok_pieces(text) AS p FROM {docs})",
+    "sql_tok_decode": "SELECT doc_id, small_tok_decode(small_tok_encode(text)) AS text FROM {docs}",
+    "sql_tok_tokens": "SELECT x.id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, explode(z) AS x FROM (SELECT doc_id, small_tok_tokens(text) AS z FROM {docs})) GROUP BY x.id",
+}
+
+
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = Tokenizer(spark, full_spec())
     docs = table(spark, sf_dir, "documents")
@@ -262,7 +284,7 @@ def queries() -> dict[str, Query]:
     more = [encode_ids, token_count_by_lang, encode_long, encode_full, decode_roundtrip, decode_native, special_split, encode_chat, vocab_truncate]
     more += [chat_labels, single_char_rate, suffix_ing, html_attr_count, distinct_piece_reuse]
     more += [encode_special_off, decode_special_off, decode_tokens, chars_per_token, merge_ranks, vocab_reverse, special_table]
-    return out | {f.__name__: f for f in more}
+    return out | {name: _sql(q) for name, q in SQL_QUERIES.items()} | {f.__name__: f for f in more}
 
 
 # SQL for DuckDB, whose regular expressions have no lookahead.
@@ -334,6 +356,9 @@ vocab(token, id) AS (VALUES {vocab}),
 ids AS (SELECT doc_id, piece_pos, tok_pos, id FROM pieces JOIN toks USING (piece) JOIN vocab USING (token))"""
 
 
+_SQL_IDS = "SELECT doc_id, count(*) AS n_ids, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY piece_pos, tok_pos)) AS digest FROM ids GROUP BY 1"
+
+
 def oracle_sql() -> dict[str, str]:
     small = small_spec()
     prefixed = f"list_transform({_SEGMENTED}, lambda x, i: CASE WHEN i > 1 OR NOT starts_with(x, ' ') THEN 'Ġ' ELSE '' END || {_byte_map_sql('x')})"
@@ -381,6 +406,10 @@ def oracle_sql() -> dict[str, str]:
         "token_count_by_lang": f"""WITH {_fold_sql(small)}, n AS (SELECT doc_id, count(*) AS n FROM ids GROUP BY 1)
 SELECT lang, count(*) AS n_docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_tokens, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents LEFT JOIN n USING (doc_id) GROUP BY 1""",
         "encode_long": f"WITH {_fold_sql(small)} SELECT CAST(id AS INTEGER) AS id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ids GROUP BY 1",
+        "sql_tok_encode": f"WITH {_fold_sql(small)} {_SQL_IDS}",
+        "sql_tok_pieces": _sql_cut(f"list_transform({_SEGMENTED}, lambda x: {_byte_map_sql('x')})"),
+        "sql_tok_decode": "SELECT doc_id, text FROM documents",
+        "sql_tok_tokens": f"WITH {_fold_sql(small)} SELECT CAST(id AS INTEGER) AS id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ids GROUP BY 1",
         "decode_roundtrip": "SELECT doc_id, text FROM documents",
         "decode_tokens": r"SELECT doc_id, sha256(regexp_replace(text, '[^\x00-\x7F]+', '', 'g')) AS digest FROM documents",
         "encode_special_off": f"SELECT conv_id, turn, text FROM {chat}",

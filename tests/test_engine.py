@@ -211,14 +211,63 @@ def test_stream(spark, tmp_path):
     assert spark.table("encoded").first()["ids"] == [31373, 995]
 
 
-def test_sql(spark):
-    from tessera.functions.sql import register, with_pieces
+def test_sql_takes_text(spark):
+    from tessera.functions.sql import register
 
-    tok = Tokenizer(spark, full_spec())
+    tok = Tokenizer(spark, replace(full_spec(), specials={60001: "<|im_start|>", 60002: "<|im_end|>"}))
     register(spark, tok)
-    with_pieces(spark.createDataFrame([("hello world",)], "text string"), tok).createOrReplaceTempView("x")
-    assert spark.sql("select tok_decode(tok_encode(pieces)) a, tok_count(pieces) n from x").first() == ("hello world", 2)
-    assert [r["id"] for r in spark.sql("select t.* from x, lateral tok_explode(pieces) t").collect()] == [31373, 995]
+    texts = [*TEXTS, None, "<|im_start|>it's 'quoted' \\ back\n<|im_end|>"]
+    spark.createDataFrame(list(enumerate(texts)), "i int, text string").createOrReplaceTempView("x")
+    got = spark.sql("select i, tok_pieces(text) p, tok_encode(text) ids, tok_count(text) n, tok_decode(tok_encode(text)) back from x order by i").collect()
+    want = spark.table("x").select("i", tok.pieces(F.col("text")).alias("p"), tok.encode(F.col("text")).alias("ids")).orderBy("i").collect()
+    assert [(r["p"], r["ids"]) for r in got] == [(r["p"], r["ids"]) for r in want]
+    assert [r["back"] for r in got] == texts and [r["n"] for r in got] == [None if t is None else len(r["ids"]) for t, r in zip(texts, want)]
+    rows = spark.sql("select x.i, t.* from x, lateral tok_explode(x.text) t order by x.i, t.pos").collect()
+    long = spark.sql("select piece, id from tok_explode('hello world !') order by pos").collect()
+    assert [tuple(r) for r in long] == [("hello", 31373), ("Ġworld", 995), ("Ġ!", 5145)]
+    assert [(r["i"], r["pos"], r["id"]) for r in rows] == [(r["i"], k, x) for r in want for k, x in enumerate(r["ids"] or [])]
+
+
+def test_close_releases(spark):
+    df = spark.createDataFrame([("hello world",)], "t string")
+    with Tokenizer(spark, full_spec()) as tok:
+        assert df.select(tok.decode(tok.encode(F.col("t")))).first()[0] == "hello world"
+        held = list(tok._shared)
+        assert len(held) == 2
+    assert tok._shared == []
+    with pytest.raises(Exception, match="destroyed"):
+        held[0].unpersist()
+
+
+def test_load_by_a_path_of_spark(spark, tmp_path):
+    import shutil
+
+    from tessera.plans.queries import vocabulary_path
+
+    shutil.copy(vocabulary_path(), tmp_path / "t.json")
+    tok = Tokenizer.load(spark, f"file://{tmp_path}/t.json", 300)  # open() doesn't take such a path
+    assert tok.vocab_size == 300
+
+
+def test_single_ids(spark):
+    tok = Tokenizer(spark, full_spec())
+    df = spark.createDataFrame([([31373, 995, 50999],), ([],), (None,), ([50256],)], "ids array<int>")
+    assert [r[0] for r in df.select(tok.tokens(F.col("ids"))).collect()] == [["hello", " world", ""], [], None, ["<|endoftext|>"]]
+    assert [r[0] for r in df.select(tok.decode(F.col("ids"))).collect()] == ["hello world", "", None, "<|endoftext|>"]
+
+
+def test_stream_counts_by_window(spark, tmp_path):
+    from tessera.streaming.encode import token_counts
+
+    rows = [("2024-01-01 00:01:00", "hello world"), ("2024-01-01 00:04:00", "hello"), ("2024-01-01 00:06:00", None), ("2024-01-01 01:00:00", "hello world")]
+    spark.createDataFrame(rows, "at string, text string").select(F.to_timestamp("at").alias("at"), "text").write.parquet(str(tmp_path / "in"))
+    tok = Tokenizer(spark, full_spec())
+    stream = token_counts(spark.readStream.schema("at timestamp, text string").parquet(str(tmp_path / "in")), tok, "at")
+    q = stream.writeStream.format("memory").queryName("counted").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    out = {r["window"]["start"].strftime("%H:%M"): (r["tokens"], r["texts"]) for r in spark.table("counted").collect()}
+    assert out["00:00"] == (3, 2) and out["00:05"][1] == 1 and out["01:00"] == (2, 1)
 
 
 def test_ratio_is_null_without_tokens(spark):
