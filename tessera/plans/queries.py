@@ -165,7 +165,7 @@ def _sql(query: str) -> Query:
     """A query in Spark SQL over ``{docs}`` with the functions of the small definition."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, Tokenizer(spark, small_spec()), "small_tok")
+        register(spark, Tokenizer(spark, small_spec()), "small_tok", once=True)
         return spark.sql(query, docs=table(spark, sf_dir, "documents"))
 
     return run

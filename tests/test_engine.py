@@ -228,6 +228,32 @@ def test_sql_takes_text(spark):
     assert [(r["i"], r["pos"], r["id"]) for r in rows] == [(r["i"], k, x) for r in want for k, x in enumerate(r["ids"] or [])]
 
 
+def test_sql_tokens_come_in_runs_and_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.functions.sql import register
+    from tessera.operators import bpe
+
+    tok = Tokenizer(spark, replace(full_spec(), specials={60001: "<|im_start|>", 60002: "<|im_end|>"}))
+    texts = [*TEXTS, None, "", "<|im_start|>it's\n<|im_end|>", "a" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "i int, text string").createOrReplaceTempView("y")
+    for once in (False, True):
+        register(spark, tok, "runs", once)
+        rows = spark.sql("select runs_tokens(text) z, runs_encode(text) ids, runs_pieces(text) p from y order by i").collect()
+        assert [None if r["z"] is None else [x["id"] for x in r["z"]] for r in rows] == [r["ids"] for r in rows]
+        for r in rows:
+            shown = list(dict.fromkeys((x["piece"] for x in r["z"] or [])))
+            assert shown == list(dict.fromkeys(x["piece"] for x in r["p"] or []))
+        exploded = spark.sql("select x.id, count(*) n from (select explode(z) x from (select i, runs_tokens(text) z from y)) group by 1")
+        assert sum(r["n"] for r in exploded.collect()) == sum(len(r["ids"] or []) for r in rows)
+        assert exploded._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == (1 if once else 2)
+    assert spark.sql("select sum(size(runs_encode(text))) from y").first()[0] == sum(len(r["ids"] or []) for r in rows)
+    monkeypatch.setattr(bpe, "RUN_BYTES", 12)
+    runs = list(bpe.encode_joined(tok._spec).func(iter([pa.array(["hello Ġworld", None, "", "\n60001 hello", "hello"])])))
+    assert [x for r in runs for x in r.to_pylist()] == [[[31373], [995]], None, [[]], [[60001], [31373]], [[31373]]]
+    assert len(runs) == 3
+
+
 def test_close_releases(spark):
     df = spark.createDataFrame([("hello world",)], "t string")
     with Tokenizer(spark, full_spec()) as tok:
